@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sieveline.llm import jaccard_join, mixing, ogg, packing, substring_dedup, token_store
+from sieveline.llm import fingerprints, jaccard_join, language_id, mixing, ogg, packing, substring_dedup, token_store, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,24 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels: a page is bad if the label of its number calls it toxic or of low quality."""
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filter.judged(_table(spark, sf_dir, "pages"), labels)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(_table(spark, sf_dir, "documents"))
+
+
+def op9_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_digest(_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and callable(f)}
 
