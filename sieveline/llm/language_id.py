@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, functions as F
 from sieveline.llm import common as C
 
 SAMPLE = 1200
-SEGMENT = 24
+SEGMENT = 16
 CACHE = 300_000
 HIDDEN, EMBED = 16, 12
-STEPS, BATCH = 1200, 256
+STEPS, BATCH = 500, 96
 UNKNOWN = "und"
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -116,15 +116,15 @@ class Network:
         down = grad @ self.w["out"].T
         dx = self._unscan("f", down[:, :, :HIDDEN], one, x, into)
         dx = dx + self._unscan("b", down[::-1, :, HIDDEN:], two, x[::-1], into)[::-1]
-        emb = np.zeros_like(self.w["emb"])
-        np.add.at(emb, codes.reshape(-1), dx.reshape(-1, EMBED))
-        return into | {"emb": emb}
+        which = np.zeros((256, codes.size), np.float32)
+        which[codes.reshape(-1), np.arange(codes.size)] = 1
+        return into | {"emb": which @ dx.reshape(-1, EMBED)}
 
     def fit(self, words: list[bytes], labels: np.ndarray, weight: np.ndarray, steps: int = STEPS, seed: int = 11) -> None:
         draw, m, v = np.random.default_rng(seed), {}, {}
-        weight = weight / weight.sum()
+        upto = np.cumsum(weight) / weight.sum()
         for step in range(1, steps + 1):
-            pick = draw.choice(len(words), BATCH, p=weight)
+            pick = np.minimum(np.searchsorted(upto, draw.random(BATCH)), len(words) - 1)
             codes, mask = _padded([words[i] for i in pick])
             rate = 0.01 * min(1, step / 50) * (1 - 0.9 * step / steps)
             for k, g in self.gradients(codes, mask, labels[pick]).items():
