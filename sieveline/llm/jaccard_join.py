@@ -222,7 +222,7 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int
     cluster = C.stored(cluster.join(sets.where("n > 0").select(F.col("rep").alias("node"), "n"), "node"), "clusters")
     large = cluster.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
     members = C.stored(cluster.join(C.stored(large, "blocks"), "cluster").select(F.col("node").alias("rep"), "cluster", "blocks"), "members")
-    grams = docs.join(members, docs.id == members.rep).select("rep", "cluster", "blocks", "text").mapInArrow(_sets(words), "rep long, cluster long, blocks int, grams binary")
+    grams = docs.join(members.hint("merge"), docs.id == members.rep).select("rep", "cluster", "blocks", "text").mapInArrow(_sets(words), "rep long, cluster long, blocks int, grams binary")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = (
         grams.withColumn("own", own)
