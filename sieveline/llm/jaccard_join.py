@@ -28,7 +28,7 @@ THRESHOLD = 0.8
 TREES, DEPTH = 20, 6
 RECALL = 0.9999
 #: Shingles of a block of a large cluster, and of a task's work on two blocks: 2 * BLOCK.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 
 
 def forest_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -244,4 +244,4 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The document with the least doc_id of each class, with all its columns; rows that repeat its doc_id go too."""
     keep = similarity_classes(docs, threshold).where("doc_id <=> class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_keep"])).drop("_keep").dropDuplicates(["doc_id"])
+    return docs.join(keep.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(keep["_keep"])).drop("_keep").dropDuplicates(["doc_id"])

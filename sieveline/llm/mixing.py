@@ -133,5 +133,5 @@ def mixture(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them: a row for each copy, none for those left out. A doc_id is taken to stand for one document."""
     take = copies(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    both = docs.join(take, docs["doc_id"].cast("long").eqNullSafe(take["_id"]))
+    both = docs.join(take.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(take["_id"]))
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_id", "_copies", "_copy")

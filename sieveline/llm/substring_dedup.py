@@ -177,14 +177,19 @@ def substring_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return both.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def _rewrite(batches):
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, cuts in enumerate(batch.column("cuts").to_pylist()):
-            if cuts:
-                texts[i] = _kept(texts[i], cuts)[2].decode()
-        columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names if n != "cuts"]
-        yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != "cuts"])
+def _rewrite(drop_empty: bool):
+    def run(batches):
+        for batch in batches:
+            texts, keep = batch.column("text").to_pylist(), np.ones(len(batch), bool)
+            for i, cuts in enumerate(batch.column("cuts").to_pylist()):
+                if cuts:
+                    texts[i] = _kept(texts[i], cuts)[2].decode()
+                    keep[i] = not drop_empty or texts[i] != ""
+            names = [n for n in batch.schema.names if n != "cuts"]
+            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
+
+    return run
 
 
 def remove_substrings(docs: DataFrame, width: int = WIDTH, drop_empty: bool = True) -> DataFrame:
@@ -194,8 +199,8 @@ def remove_substrings(docs: DataFrame, width: int = WIDTH, drop_empty: bool = Tr
     a column, follows the text.
     """
     cuts = removal_intervals(docs.select("doc_id", "text"), width).withColumnRenamed("id", "_cut_id")
-    both = docs.join(cuts, docs["doc_id"].cast("long") == cuts["_cut_id"], "left").drop("_cut_id")
-    out = both.mapInArrow(_rewrite, docs.schema)
+    both = docs.join(cuts.hint("merge"), docs["doc_id"].cast("long") == cuts["_cut_id"], "left").drop("_cut_id")
+    out = both.mapInArrow(_rewrite(drop_empty), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.where("text is null or text <> ''") if drop_empty else out
+    return out
