@@ -1,8 +1,44 @@
-"""A training corpus in stages: each takes (spark, docs, sf_dir) and returns a DataFrame, written and read again before the next."""
+"""A training corpus from ``documents`` in stages; each is written as Parquet and read again as the next one's input.
 
-STAGES = []
+Language ID drops documents without a clear language; of each group of near copies the least doc_id stays; passages of 50
+words that an earlier document has are cut; sources are mixed by repeating and leaving out documents; the rest is packed
+into length buckets. All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sieveline.llm import common, jaccard_join, language_id, mixing, packing, substring_dedup
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_substrings(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", identify), ("near_duplicates", near_duplicates), ("substring_dedup", substrings), ("mixing", mix), ("packing", pack)]
+#: The stages learn a model, draw and search by hashing, which SQL doesn't express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
