@@ -6,7 +6,7 @@ so that a reader of doc_id and n_tokens, or of a few documents, touches only the
 
 Tokens of the text's chunks are cached: the byte-level pre-tokeniser cuts at each single space or line break between other characters and
 between letters and the marks after them, and BPE works on each piece alone, so a piece is encoded by the library once and reused. Texts with other
-white space at a cut, or with a special token's string, are encoded whole by the library. The cache holds ``CACHE`` pieces at most.
+white space at a cut, or with a special token's string, are encoded whole by the library. The cache holds two generations of ``CACHE`` pieces at most.
 
 Defined results: null text is empty and has only the end id; ids above 65,535 don't occur with the vocabularies of this format's users but are stored as int;
 equal doc_ids stand in order of their text; null doc_ids come first; an empty table gives an empty store.
@@ -15,6 +15,7 @@ equal doc_ids stand in order of their text; null doc_ids come first; an empty ta
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from sieveline.llm import common as C
 
 END = 2
 ROW_GROUP, PAGE = 16 << 20, 128 << 10
-CACHE = 400_000
+CACHE = 250_000
 _MARKS = ".,;:!?#$%&*"
 _held: dict[str, tuple] = {}
 
@@ -39,21 +40,22 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.end = np.array([end], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # the shortcut holds for byte-level BPE with the usual pattern and no normaliser
         self.cuts = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None and not self.library.pre_tokenizer.add_prefix_space
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, piece: str) -> bytes:
+        """A piece that isn't known as it stands; marks after letters are pieces of their own, so that only the parts are kept."""
         base = piece.rstrip(_MARKS)
         if base and len(base) < len(piece) and base.lstrip(" ").isalpha():
-            found = self.one(base) + self.one(piece[len(base) :])
-        else:
-            found = self.whole(piece)
+            return self.one(base) + self.one(piece[len(base) :])
+        found = self.older.get(piece) or self.whole(piece)
         if len(piece) <= 64:
-            if len(self.known) >= CACHE:
-                self.known.clear()
+            if len(self.known) >= CACHE:  # the younger half of what is kept becomes the older one
+                self.known, self.older = {}, self.known
             self.known[piece] = found
         return found
 
@@ -73,11 +75,10 @@ class Encoder:
                     return self.whole(text)
             if n:
                 out.append(self.one("\n"))
-            known, first = self.known, self.one(chunks[0])
-            out.append(first)
+            out.append(self.one(chunks[0]))
             for c in chunks[1:]:
                 c = " " + c
-                out.append(known.get(c) or self.piece(c))
+                out.append(self.known.get(c) or self.piece(c))
         return b"".join(out)
 
 
