@@ -25,7 +25,9 @@ from sieveline.llm import common as C
 
 END = 2
 ROW_GROUP, PAGE = 16 << 20, 128 << 10
-CACHE = 250_000
+CACHE, JOINED = 250_000, 60_000
+# White space other than a single space or line break between other characters, and the cutting sign itself.
+_ODD = ["\0", "  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
 _MARKS = ".,;:!?#$%&*"
 _held: dict[str, tuple] = {}
 
@@ -41,6 +43,7 @@ class Encoder:
         self.end = np.array([end], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.joined: dict[str, bytes] = {}
         # the shortcut holds for byte-level BPE with the usual pattern and no normaliser
         self.cuts = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None and not self.library.pre_tokenizer.add_prefix_space
 
@@ -51,7 +54,11 @@ class Encoder:
         """A piece that isn't known as it stands; marks after letters are pieces of their own, so that only the parts are kept."""
         base = piece.rstrip(_MARKS)
         if base and len(base) < len(piece) and base.lstrip(" ").isalpha():
-            return self.one(base) + self.one(piece[len(base) :])
+            found = self.one(base) + self.one(piece[len(base) :])
+            if len(self.joined) >= JOINED:
+                self.joined.clear()
+            self.joined[piece] = found
+            return found
         found = self.older.get(piece) or self.whole(piece)
         if len(piece) <= 64:
             if len(self.known) >= CACHE:  # the younger half of what is kept becomes the older one
@@ -65,20 +72,13 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.cuts or any(s in text for s in self.special):
+        if not self.cuts or any(s in text for s in self.special) or text[0].isspace() or text[-1].isspace() or any(s in text for s in _ODD):
             return self.whole(text)
-        out: list[bytes] = []
-        for n, line in enumerate(text.split("\n")):
-            chunks = line.split(" ")
-            for c in chunks:
-                if not c or c[0].isspace() or c[-1].isspace():
-                    return self.whole(text)
-            if n:
-                out.append(self.one("\n"))
-            out.append(self.one(chunks[0]))
-            for c in chunks[1:]:
-                c = " " + c
-                out.append(self.known.get(c) or self.piece(c))
+        # "\0" can't be in a text that is cut here; each chunk keeps the space before it, each line break is a chunk
+        chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        out = list(map(self.known.get, chunks))
+        if None in out:
+            out = [x or self.joined.get(c) or self.one(c) for x, c in zip(out, chunks, strict=True)]
         return b"".join(out)
 
 
