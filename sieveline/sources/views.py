@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sieveline.sources.readers import table
 
@@ -37,7 +37,7 @@ def pred_big(spark: SparkSession, d: str) -> DataFrame:
 
 
 def meta(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").join(table(spark, d, "customer"), table(spark, d, "orders")["o_custkey"] == table(spark, d, "customer")["c_custkey"]).selectExpr(
+    return table(spark, d, "orders").join(table(spark, d, "customer"), F.expr("o_custkey = c_custkey")).selectExpr(
         "o_orderkey as idx", "cast(o_custkey as string) as patient", "o_orderpriority as node", "o_orderkey % 4 as split_code", "c_nationkey % 5 as center", "o_custkey as patient_id"
     )
 
@@ -54,5 +54,7 @@ DUCK = {
 
 def duck(sql: str) -> str:
     """sql with the views that it names put before it."""
+    if sql.startswith("with "):
+        return sql
     used = [k for k in DUCK if f"{k} " in f"{sql} " or f"{k})" in sql or f"{k}\n" in sql]
     return f"with {', '.join(f'{k} as ({DUCK[k]})' for k in used)} {sql}" if used else sql
