@@ -25,15 +25,21 @@ from sieveline.llm import common as C
 
 SAMPLES = 128
 #: Terms whose draws a worker keeps.
-CACHE = 40_000
+CACHE = 120_000
 _NONE = np.uint16(0)
+_TURN, _SPREAD, _LOW = C.U64(0x9E3779B97F4A7C15), C.U64(0xBF58476D1CE4E5B9), C.U64(0xFFFFFF)
+
+
+def _unit(bits: np.ndarray) -> np.ndarray:
+    """24 bits as a number between 0 and 1, neither of them included."""
+    return bits.astype(np.float32) * np.float32(2.0**-24) + np.float32(2.0**-25)
 
 
 class Sampler:
     def __init__(self, samples: int = SAMPLES):
         self.samples = samples
         self.place: dict[tuple[bytes, int], int] = {}
-        self.seeds = C.mix(np.arange(1, 5 * samples + 1, dtype=C.U64) * C.U64(0x2545F4914F6CDD1D)).reshape(5, samples)
+        self.seeds = C.mix(np.arange(1, 2 * samples + 1, dtype=C.U64) * C.U64(0x2545F4914F6CDD1D)).reshape(2, samples)
         self.clear()
 
     def clear(self) -> None:
@@ -46,11 +52,24 @@ class Sampler:
         data = np.frombuffer(b"".join(terms), np.uint8)
         ends = np.cumsum([len(t) for t in terms])
         term = C.word_hashes(data, ends - np.diff(ends, prepend=0), ends)
-        u = [(C.mix(term[None, :] ^ s[:, None]) >> C.U64(11)).astype(np.float64) / 2.0**53 + 2.0**-54 for s in self.seeds]
-        r, log_c = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3]))
-        t = np.floor(np.log(weights)[None, :] / r + u[4])
-        code = C.mix(C.mix(term)[None, :] + t.astype(np.int64).view(C.U64)) >> C.U64(48)
-        return (log_c - r * (t - u[4]) - r).astype(np.float32), np.maximum(code, C.U64(1)).astype(np.uint16)
+        one, two = (self._bits(term, seed) for seed in self.seeds)
+        u0, u1 = _unit(one >> C.U64(40)), _unit((one >> C.U64(16)) & _LOW)
+        b = (one & C.U64(0xFFFF)).astype(np.float32) * np.float32(2.0**-16)
+        u2, u3 = _unit(two >> C.U64(40)), _unit((two >> C.U64(16)) & _LOW)
+        r, log_c = -np.log(u0 * u1), np.log(-np.log(u2 * u3))
+        t = np.floor(np.log(weights).astype(np.float32)[None, :] / r + b)
+        code = ((term[None, :] + t.astype(np.int64).view(C.U64) * _TURN) * _SPREAD) >> C.U64(48)
+        return log_c - r * (t - b) - r, np.maximum(code, C.U64(1)).astype(np.uint16)
+
+    @staticmethod
+    def _bits(term: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        """64 bits for each (sample, term); term is mixed already."""
+        x = term[None, :] ^ seed[:, None]
+        x *= _TURN
+        x ^= x >> C.U64(29)
+        x *= _SPREAD
+        x ^= x >> C.U64(32)
+        return x
 
     def learn(self, bags: list[Counter]) -> None:
         new = list({k for bag in bags for k in bag.items() if k not in self.place})
@@ -62,8 +81,8 @@ class Sampler:
             grow = max(need, 2 * self.log_a.shape[1]) - self.log_a.shape[1]
             self.log_a = np.concatenate([self.log_a, np.empty((self.samples, grow), np.float32)], axis=1)
             self.code = np.concatenate([self.code, np.empty((self.samples, grow), np.uint16)], axis=1)
-        for i in range(0, len(new), 2048):
-            part, at = new[i : i + 2048], len(self.place)
+        for i in range(0, len(new), 256):
+            part, at = new[i : i + 256], len(self.place)
             self.log_a[:, at : at + len(part)], self.code[:, at : at + len(part)] = self.draw([t for t, _ in part], np.array([w for _, w in part], np.float64))
             self.place.update((k, at + j) for j, k in enumerate(part))
 
