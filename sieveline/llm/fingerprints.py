@@ -44,8 +44,8 @@ class Sampler:
 
     def clear(self) -> None:
         self.place.clear()
-        self.log_a = np.empty((self.samples, 4096), np.float32)
-        self.code = np.empty((self.samples, 4096), np.uint16)
+        self.log_a = np.empty((4096, self.samples), np.float32)
+        self.code = np.empty((4096, self.samples), np.uint16)
 
     def draw(self, terms: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ln a and the 16-bit code of each (sample, term)."""
@@ -77,13 +77,14 @@ class Sampler:
             self.clear()
             new = list({k for bag in bags for k in bag.items()})
         need = len(self.place) + len(new)
-        if need > self.log_a.shape[1]:
-            grow = max(need, 2 * self.log_a.shape[1]) - self.log_a.shape[1]
-            self.log_a = np.concatenate([self.log_a, np.empty((self.samples, grow), np.float32)], axis=1)
-            self.code = np.concatenate([self.code, np.empty((self.samples, grow), np.uint16)], axis=1)
+        if need > self.log_a.shape[0]:
+            grow = max(need, 2 * self.log_a.shape[0]) - self.log_a.shape[0]
+            self.log_a = np.concatenate([self.log_a, np.empty((grow, self.samples), np.float32)])
+            self.code = np.concatenate([self.code, np.empty((grow, self.samples), np.uint16)])
         for i in range(0, len(new), 256):
             part, at = new[i : i + 256], len(self.place)
-            self.log_a[:, at : at + len(part)], self.code[:, at : at + len(part)] = self.draw([t for t, _ in part], np.array([w for _, w in part], np.float64))
+            log_a, code = self.draw([t for t, _ in part], np.array([w for _, w in part], np.float64))
+            self.log_a[at : at + len(part)], self.code[at : at + len(part)] = log_a.T, code.T
             self.place.update((k, at + j) for j, k in enumerate(part))
 
     def sign(self, bag: Counter) -> np.ndarray:
@@ -91,8 +92,8 @@ class Sampler:
         if not bag:
             return np.full(self.samples, _NONE)
         at = np.fromiter((self.place[k] for k in bag.items()), np.int64, len(bag))
-        best = at[np.take(self.log_a, at, axis=1).argmin(axis=1)]
-        return self.code[np.arange(self.samples), best]
+        best = at[self.log_a[at].argmin(axis=0)]  # a term's samples lie side by side
+        return self.code[best, np.arange(self.samples)]
 
 
 _held: list[Sampler] = []
