@@ -288,7 +288,11 @@ _CASE = "select idx, bucket, row_number() over (partition by bucket order by md5
 query("wn_bucket_ordinal", _b(f"select idx, bucket, format('{{}}_{{:03d}}', bucket, rn-1) case_id, row_number() over (order by bucket, rn) review_order from ({_CASE}) where rn<=50"))(
     lambda s, d: S.per_group(S.error_buckets(V.pred(s, d)), ["bucket"], 50).select("idx", "bucket", F.format_string("%s_%03d", "bucket", F.col("rn") - 1).alias("case_id"), F.row_number().over(Window.orderBy("bucket", "rn")).cast("long").alias("review_order"))
 )
-_EPW = Window.partitionBy("arm").orderBy("epoch")
+
+
+def _epw():
+    return Window.partitionBy("arm").orderBy("epoch")
+
 
 
 def _epochs(s, d):
@@ -296,9 +300,9 @@ def _epochs(s, d):
 
 
 query("wn_running_best", f"select arm, epoch, metric > coalesce(max(metric) over (partition by arm order by epoch rows between unbounded preceding and 1 preceding), -1e0) improved from ({_EP})")(
-    lambda s, d: _epochs(s, d).select("arm", "epoch", (F.col("metric") > F.coalesce(F.max("metric").over(_EPW.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1.0))).alias("improved"))
+    lambda s, d: _epochs(s, d).select("arm", "epoch", (F.col("metric") > F.coalesce(F.max("metric").over(_epw().rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1.0))).alias("improved"))
 )
-query("wn_running_mean", f"select arm, epoch, round(avg(metric) over (partition by arm order by epoch rows unbounded preceding),5) m from ({_EP})")(lambda s, d: _epochs(s, d).select("arm", "epoch", F.round(F.avg("metric").over(_EPW.rowsBetween(Window.unboundedPreceding, 0)), 5).alias("m")))
+query("wn_running_mean", f"select arm, epoch, round(avg(metric) over (partition by arm order by epoch rows unbounded preceding),5) m from ({_EP})")(lambda s, d: _epochs(s, d).select("arm", "epoch", F.round(F.avg("metric").over(_epw().rowsBetween(Window.unboundedPreceding, 0)), 5).alias("m")))
 query("wn_milestones", "select split, idx, mark from (select *, lag(mark,1,0) over (partition by split order by idx) was from (select split, idx, floor(10e0*row_number() over (partition by split order by idx)/count(*) over (partition by split))::bigint mark from v_docs)) where mark>was")(
     lambda s, d: V.docs(s, d).select("split", "idx", F.floor(10.0 * F.row_number().over(Window.partitionBy("split").orderBy("idx")) / F.count("*").over(Window.partitionBy("split"))).alias("mark")).withColumn("was", F.lag("mark", 1, 0).over(Window.partitionBy("split").orderBy("idx"))).where("mark > was").drop("was")
 )
