@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sieveline.llm import fingerprints, jaccard_join, language_id, mixing, ogg, packing, substring_dedup, token_store, toxicity, url_filter
+from sieveline.llm import fingerprints, jaccard_join, language_id, mixing, ogg, oracle, packing, substring_dedup, token_store, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.SQL

@@ -1,7 +1,7 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark; repeated windows become removal intervals.
 
 Every window of ``width`` words is hashed by a rolling polynomial. Consecutive windows that share their least ``GRAM``-word hash form a
-*run*; equal windows have equal least hashes, so windows of different runs keys never match and need not meet. Runs are
+*run*; equal windows have equal least hashes, so windows of runs with different keys never match and need not meet. Runs are
 counted first, by key, then by the hash of all the words that they span: a run that occurs as a whole in an earlier document
 is removed as a whole, and only the first occurrence of each distinct run of a repeated key sends its windows' own (128-bit)
 hashes to be counted. The removed windows of a document merge into maximal intervals.
