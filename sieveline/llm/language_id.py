@@ -166,7 +166,7 @@ def held_out(name: str = "doc_id"):
 def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
     """At most ``sample`` labelled documents outside the held-out part, by least hash of doc_id."""
     rows = docs.where("lang is not null and text is not null").where(~held_out()).select("doc_id", "text", "lang")
-    return [(r["text"], r["lang"]) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    return [(r["text"], r["lang"]) for r in C.least_hashed(rows, "doc_id", sample).collect()]
 
 
 class Table:

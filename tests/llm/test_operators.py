@@ -8,8 +8,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sieveline.llm import fingerprints, jaccard_join, language_id, mixing, ogg, packing, substring_dedup, token_store, toxicity, url_filter
+from sieveline.llm import common, fingerprints, jaccard_join, language_id, mixing, ogg, packing, substring_dedup, token_store, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -239,3 +240,11 @@ def test_url_mining(spark):
     labels = spark.createDataFrame([(i, i % 4 == 0) for i in range(300)], "page_id long, bad boolean")
     out = url_filter.judged(pages, labels).collect()
     assert all((r.verdict == "block") == (r.page_id % 4 == 0) for r in out)
+
+
+def test_least_hashed(spark):
+    rows = spark.range(0, 5000, 1, 7).toDF("doc_id")
+    every = [r[0] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    for n in (1, 40, 3000, 6000):
+        assert [r[0] for r in common.least_hashed(rows, "doc_id", n).collect()] == every[:n]
+    assert common.least_hashed(rows.where("doc_id < 0"), "doc_id", 5).count() == 0
