@@ -6,7 +6,8 @@ so that a reader of doc_id and n_tokens, or of a few documents, touches only the
 
 Tokens of the text's chunks are cached: the byte-level pre-tokeniser cuts at each single space or line break between other characters and
 between letters and the marks after them, and BPE works on each piece alone, so a piece is encoded by the library once and reused. Texts with other
-white space at a cut, or with a special token's string, are encoded whole by the library. The cache holds two generations of ``CACHE`` pieces at most.
+white space at a cut, or with a special token's string, are encoded whole by the library. The cache holds two generations of ``CACHE`` pieces at most;
+a piece with marks enters it when it is met again.
 
 Defined results: null text is empty and has only the end id; ids above 65,535 don't occur with the vocabularies of this format's users but are stored as int;
 equal doc_ids stand in order of their text; null doc_ids come first; an empty table gives an empty store.
@@ -32,6 +33,16 @@ _MARKS = ".,;:!?#$%&*"
 _held: dict[str, tuple] = {}
 
 
+class Known(dict):
+    """Ids of pieces; the encoder finds those that are missing."""
+
+    def __init__(self, tool: "Encoder"):
+        self.tool = tool
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.tool.piece(piece) if piece else b""
+
+
 class Encoder:
     """Whole texts to ids through a cache of pieces."""
 
@@ -39,10 +50,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.merges = self.library.model.tokenize
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.end = np.array([end], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known, self.older = Known(self), Known(self)
         self.joined: dict[str, bytes] = {}
         # the shortcut holds for byte-level BPE with the usual pattern and no normaliser
         self.cuts = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None and not self.library.pre_tokenizer.add_prefix_space
@@ -50,24 +61,29 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def keep(self, piece: str, found: bytes) -> bytes:
+        if len(piece) <= 64:
+            if len(self.known) >= CACHE:  # the younger half of what is kept becomes the older one
+                self.known, self.older = Known(self), self.known
+            self.known[piece] = found
+        return found
+
     def piece(self, piece: str) -> bytes:
-        """A piece that isn't known as it stands; marks after letters are pieces of their own, so that only the parts are kept."""
+        """A piece that the younger generation lacks; marks after letters are pieces of their own, so that of pieces met once only the parts are kept."""
+        found = dict.get(self.older, piece) or self.joined.pop(piece, None)
+        if found:
+            return self.keep(piece, found)
         base = piece.rstrip(_MARKS)
         if base and len(base) < len(piece) and base.lstrip(" ").isalpha():
-            found = self.one(base) + self.one(piece[len(base) :])
+            found = self.known[base] + self.known[piece[len(base) :]]
             if len(self.joined) >= JOINED:
                 self.joined.clear()
-            self.joined[piece] = found
+            if len(piece) <= 64:
+                self.joined[piece] = found
             return found
-        found = self.older.get(piece) or self.whole(piece)
-        if len(piece) <= 64:
-            if len(self.known) >= CACHE:  # the younger half of what is kept becomes the older one
-                self.known, self.older = {}, self.known
-            self.known[piece] = found
-        return found
-
-    def one(self, piece: str) -> bytes:
-        return self.known.get(piece) or self.piece(piece)
+        if piece.isascii() and (piece[1:] if piece[0] == " " else piece).isalpha():  # one pre-token, whose bytes stand for themselves
+            return self.keep(piece, array("I", [t.id for t in self.merges(piece.replace(" ", "\u0120"))]).tobytes())
+        return self.keep(piece, self.whole(piece))
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -76,10 +92,7 @@ class Encoder:
             return self.whole(text)
         # "\0" can't be in a text that is cut here; each chunk keeps the space before it, each line break is a chunk
         chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        out = list(map(self.known.get, chunks))
-        if None in out:
-            out = [x or self.joined.get(c) or self.one(c) for x, c in zip(out, chunks, strict=True)]
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, chunks))
 
 
 def encoder(path: str) -> Encoder:
