@@ -26,10 +26,13 @@ from sieveline.llm import common as C
 
 END = 2
 ROW_GROUP, PAGE = 16 << 20, 128 << 10
-CACHE, JOINED = 250_000, 60_000
+CACHE, JOINED = 500_000, 60_000
 # White space other than a single space or line break between other characters, and the cutting sign itself.
 _ODD = ["\0", "  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
 _MARKS = ".,;:!?#$%&*"
+# The byte-level alphabet: printable Latin-1 stands for itself, the other bytes in turn for the signs from 256 on.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 _held: dict[str, tuple] = {}
 
 
@@ -81,8 +84,8 @@ class Encoder:
             if len(piece) <= 64:
                 self.joined[piece] = found
             return found
-        if piece.isascii() and (piece[1:] if piece[0] == " " else piece).isalpha():  # one pre-token, whose bytes stand for themselves
-            return self.keep(piece, array("I", [t.id for t in self.merges(piece.replace(" ", "\u0120"))]).tobytes())
+        if (piece[1:] if piece[0] == " " else piece).isalpha() and max(piece) < "\u0250":  # Latin letters are one pre-token
+            return self.keep(piece, array("I", [t.id for t in self.merges(piece.encode().decode("latin-1").translate(_LETTERS))]).tobytes())
         return self.keep(piece, self.whole(piece))
 
     def encode(self, text: str) -> bytes:

@@ -125,6 +125,15 @@ def test_token_store(spark, docs, empty, rows):
     assert token_store.token_digest(empty, path).count() == 0
 
 
+def test_encoder_cuts_as_the_library_does():
+    P = pytest.importorskip("public_tokenizers")
+    tool, draw = token_store.Encoder(P.path("byte_bpe_50k.json")), random.Random(9)
+    kinds = ["a", "B", "ß", "é", "Ñ", "ª", "ǆ", "ɏ", "ɐ", "ж", "中", "́", "7", "²", "'s", "'", ".", "!", "-", " ", " ", "\n", "\t", "\xa0", "\xad", "<|endoftext|>"]
+    for n in range(6000):
+        text = "".join(draw.choices(kinds[: draw.choice((6, 14, 22, 26))], k=draw.randint(0, 12)))
+        assert tool.encode(text) == tool.whole(text), text
+
+
 def test_packing(docs, empty):
     lengths, counts = [1, 2, 5, 9], [4, 1, 3, 2]
 
