@@ -145,17 +145,22 @@ class Restorer:
         return found
 
     def words(self, text: str | None) -> Counter:
-        tokens = Counter(text.split()) if text else Counter()
+        tokens = text.split() if text else []
         out: Counter = Counter()
-        lone = any(len(t) == 1 and (t.isalpha() or t in MIMICS) for t in tokens)
-        for t, n in tokens.items():
+        for t, n in Counter(tokens).items():
             for w in self.token(t):
                 out[w] += n
-        if lone:  # letters set apart: three or more in a row are one run
-            for single, run in groupby(text.split(), lambda t: len(t) == 1 and (t.isalpha() or t in MIMICS)):
+        for w in self.apart(tokens):
+            out[w] += 1
+        return out
+
+    def apart(self, tokens: list[str]) -> list[str]:
+        """Words of letters set apart: three or more in a row are one run."""
+        out: list[str] = []
+        if tokens and min(map(len, tokens)) == 1:
+            for single, run in groupby(tokens, lambda t: len(t) == 1 and (t.isalpha() or t in MIMICS)):
                 if single and len(letters := list(run)) >= 3:
-                    for w in self.spaced(letters):
-                        out[w] += 1
+                    out += self.spaced(letters)
         return out
 
 
@@ -168,22 +173,43 @@ class Scorer:
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
         self.known: dict[str, tuple[str, ...]] = {}
+        self.tokens: dict[str, tuple[str, ...]] = {}
+
+    def telling(self, word: str) -> tuple[str, ...]:
+        found = self.known.get(word)
+        if found is None:
+            found = tuple(f for f in features(word) if f in self.weights)
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            self.known[word] = found
+        return found
 
     def told(self, bag: Counter) -> dict[str, int]:
         out: dict[str, int] = {}
         for w, n in bag.items():
-            found = self.known.get(w)
+            for f in self.telling(w):
+                out[f] = out.get(f, 0) + n
+        return out
+
+    def told_by(self, tool: Restorer, text: str | None) -> dict[str, int]:
+        """As told(tool.words(text)); most tokens tell nothing, which is kept for each."""
+        tokens, out = text.split() if text else [], {}
+        for t, n in Counter(tokens).items():
+            found = self.tokens.get(t)
             if found is None:
-                found = tuple(f for f in features(w) if f in self.weights)
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[w] = found
+                found = tuple(f for w in tool.token(t) for f in self.telling(w))
+                if len(self.tokens) >= CACHE:
+                    self.tokens.clear()
+                self.tokens[t] = found
             for f in found:
                 out[f] = out.get(f, 0) + n
+        for w in tool.apart(tokens):
+            for f in self.telling(w):
+                out[f] = out.get(f, 0) + 1
         return out
 
-    def score(self, bag: Counter) -> float:
-        z = self.bias + sum(self.weights[f] * math.log1p(n) for f, n in self.told(bag).items())
+    def score(self, told: dict[str, int]) -> float:
+        z = self.bias + math.fsum(self.weights[f] * math.log1p(n) for f, n in told.items())
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -249,7 +275,7 @@ def _score(model: np.ndarray, scorer: Scorer | None):
     def run(batches):
         tool = Restorer(model)
         for batch in batches:
-            scores = [scorer.score(tool.words(t.as_py())) if scorer else 0.0 for t in batch.column("text")]
+            scores = [scorer.score(scorer.told_by(tool, t.as_py())) if scorer else 0.0 for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return run

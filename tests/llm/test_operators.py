@@ -230,6 +230,15 @@ def test_toxicity(spark):
     assert toxicity.scores(docs, labels.where("doc_id < 0")).where("score > 0").count() == 0
 
 
+def test_toxicity_by_tokens_as_by_words():
+    cost = np.random.default_rng(3).random((toxicity.SIGNS,) * 3)
+    parts = ["nasty", "n4sty", "na$ty!", "n", "a", "s", "t", "y", "5", "!", "vile", "VILEST", "vvvvile", "x", "ß", "plain", "pl--ain", "12"]
+    scorer, slow, fast = toxicity.Scorer({"nasty": 1.5, "vile": 0.7, "vile*": 0.2, "x": -0.4}, -2.0), toxicity.Restorer(cost), toxicity.Restorer(cost)
+    draw = random.Random(4)
+    for text in [None, "", " ", *(" ".join(draw.choices(parts, k=draw.randint(1, 25))) for _ in range(400))]:
+        assert scorer.told_by(fast, text) == scorer.told(slow.words(text))
+
+
 def test_url_rules(spark):
     urls = [None, "no scheme", "http://COM/en/", "https://a.example.com/en/7x?q=1", "http://example.com/EN/7", "http://x.net?de", "http://b.example.net/de/8#f", "http://notcom/en/", "http://s.es.org/es/1", "http://com"]
     pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
