@@ -2,7 +2,8 @@
 
 Tokens that look disguised (signs or digits among letters, a letter three or more times in a row, letters set apart one by one)
 become lattices: each sign stands for the letters it may mimic or for nothing, a repeated letter for itself or nothing, and between spaced letters a
-word may end. Viterbi decoding takes the path of least channel cost minus log probability under a character trigram model, whose
+word may end. Letters count as set apart with marks at them or alone between them ("i d i o t." or "i . d . i"). Chunks of at most ``CHUNK`` letters
+in a row ("id iot", "k i ll") also count as each word of up to ``JOINED`` letters that neighbours make together, beside what they are alone. Viterbi decoding takes the path of least channel cost minus log probability under a character trigram model, whose
 counts come from all documents (per task arrays of ``SIGNS``**3 counts, added up in Spark). Other words are kept.
 
 The score is a logistic regression over words and word beginnings that the labelled sample marks as telling (by z of their log odds), fitted on the
@@ -15,6 +16,7 @@ greatest counts; without labels of both classes all scores are 0; a null doc_id
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from itertools import groupby
 
@@ -27,6 +29,8 @@ from sieveline.llm import common as C
 SAMPLE = 2500
 THRESHOLD = 0.3
 CACHE = 200_000
+#: Letters of a piece that may be a chunk of a word set apart, and of the word; marks alone are part of a run up to so many, too.
+CHUNK, JOINED = 3, 16
 #: Character classes of the language model: 0 boundary, 1-26 a-z, 27 any other letter.
 SIGNS = 28
 # Signs and the letters that they commonly mimic.
@@ -34,6 +38,8 @@ MIMICS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t",
 _SIGN_COST, _DROP_SIGN, _DROP_REPEAT, _DROP_DOUBLE, _SPLIT = 1.0, 5.0, 0.4, 4.0, 4.0
 _TRAIL = ".,;:!?#$%&*|\"'()[]{}<>~_-=+/\\"
 _HEAD = ".,;:?#%&*\"'[]{}>~_-=/\\"
+_OPENS, _CLOSES = frozenset("\"'([{<"), frozenset(".,;:!?\"')]}>")
+_THRICE = re.compile(r"(.)\1\1")
 
 
 def sign_of(letter: str) -> int:
@@ -109,12 +115,32 @@ def decode(symbols: str, model: list, spaced: bool = False) -> list[str]:
     return min((cost + model[a][b][0] if b else cost, said) for (a, b), (cost, said) in beam.items())[1].split()
 
 
+class Pieces(dict):
+    """By token: None, or its part in a run of pieces: (letters; empty for marks alone, the letter or sign set apart if it is one, whether a mark opens, or closes, a run there)."""
+
+    def __missing__(self, token: str):
+        low = token.lower()
+        tail = low.lstrip(_HEAD)
+        core = tail.rstrip(_TRAIL)
+        found = None
+        if not core:
+            found = ("", token if token in MIMICS else "", False, False) if len(token) <= CHUNK else None
+        elif len(core) == 1 and core in MIMICS or len(core) <= CHUNK and any(map(str.isalpha, core)) and all(c.isalpha() or c in MIMICS for c in core):
+            bare = core.lstrip("(<") or core  # a bracket may stand for a letter of a chunk, or open a row
+            found = (core, bare if len(bare) == 1 else "", bare != core or not _OPENS.isdisjoint(low[: len(low) - len(tail)]), not _CLOSES.isdisjoint(tail[len(core) :]))
+        if len(self) >= CACHE:
+            self.clear()
+        self[token] = found
+        return found
+
+
 class Restorer:
     """Restored words of texts, with the decoded tokens kept."""
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
         self.known: dict[str, tuple[str, ...]] = {}
+        self.pieces = Pieces()
 
     def token(self, token: str) -> tuple[str, ...]:
         found = self.known.get(token)
@@ -150,19 +176,54 @@ class Restorer:
         for t, n in Counter(tokens).items():
             for w in self.token(t):
                 out[w] += n
-        for w in self.apart(tokens):
-            out[w] += 1
+        for run in self.runs(tokens):
+            for w in self.apart(run):
+                out[w] += 1
         return out
 
-    def apart(self, tokens: list[str]) -> list[str]:
-        """Words of letters set apart: three or more in a row are one run."""
-        out: list[str] = []
-        if tokens and min(map(len, tokens)) == 1:
-            for single, run in groupby(tokens, lambda t: len(t) == 1 and (t.isalpha() or t in MIMICS)):
-                if single and len(letters := list(run)) >= 3:
-                    out += self.spaced(letters)
+    def runs(self, tokens: list[str]) -> list[tuple]:
+        """The longest runs of two or more pieces."""
+        out = []
+        for held, group in groupby(map(self.pieces.__getitem__, tokens), bool):
+            if held and len(run := tuple(group)) > 1:
+                out.append(run)
         return out
 
+    def apart(self, run: tuple) -> list[str]:
+        """Words that the pieces of a run make together, each once: those of three or more single letters in a row, and all others that neighbouring chunks join to."""
+        rows = self.singles(run)
+        found = {w for row in rows for w in self.spaced([run[i][1] for i in row])}
+        row_of = {i: k for k, row in enumerate(rows) for i in row}
+        chunks = [(i, core) for i, (core, *_) in enumerate(run) if core]
+        for n, (i, word) in enumerate(chunks):
+            row = row_of.get(i, -1)
+            for j, chunk in chunks[n + 1 :]:
+                word += chunk
+                if len(word) > JOINED:
+                    break
+                if len(word) < 3 or row >= 0 and row_of.get(j) == row:
+                    continue
+                if word.isalpha() and not _THRICE.search(word):
+                    found.add(word)
+                elif any(map(str.isalpha, word)):
+                    found.update(self.token(word))
+        return sorted(found)
+
+    def singles(self, run: tuple) -> list[list[int]]:
+        """Places of letters set apart one by one, three at least. An opening mark begins a row and a closing one ends it, unless the letter before has one as well, as in "i. d. i."."""
+        rows: list[list[int]] = [[]]
+        closed = False
+        for i, (core, letter, opens, closes) in enumerate(run):
+            if letter or core:
+                if not letter or opens and not closed:
+                    rows.append([])
+                if letter:
+                    rows[-1].append(i)
+                    if closes and len(rows[-1]) > 1 and not closed:
+                        rows.append([])
+                closed = closes
+        return [row for row in rows if len(row) >= 3]
+
 
 # ---------------------------------------------------------------- scoring
 def features(word: str) -> list[str]:
@@ -174,6 +235,7 @@ class Scorer:
         self.weights, self.bias = weights, bias
         self.known: dict[str, tuple[str, ...]] = {}
         self.tokens: dict[str, tuple[str, ...]] = {}
+        self.runs: dict[tuple, tuple[str, ...]] = {}
 
     def telling(self, word: str) -> tuple[str, ...]:
         found = self.known.get(word)
@@ -203,8 +265,15 @@ class Scorer:
                 self.tokens[t] = found
             for f in found:
                 out[f] = out.get(f, 0) + n
-        for w in tool.apart(tokens):
-            for f in self.telling(w):
+        for run in tool.runs(tokens):
+            found = self.runs.get(run)
+            if found is None:
+                found = tuple(f for w in tool.apart(run) for f in self.telling(w))
+                if len(run) <= 8:
+                    if len(self.runs) >= CACHE:
+                        self.runs.clear()
+                    self.runs[run] = found
+            for f in found:
                 out[f] = out.get(f, 0) + 1
         return out
 

@@ -239,6 +239,15 @@ def test_toxicity_by_tokens_as_by_words():
         assert scorer.told_by(fast, text) == scorer.told(slow.words(text))
 
 
+def test_toxicity_of_words_set_apart():
+    tool = toxicity.Restorer(np.ones((toxicity.SIGNS,) * 3))  # splitting a row costs more than not splitting it
+    for text in ("you i d i o t. Other", 'an "i d i o t" here', "some (i d i o t) here", "other i . d . i . o . t here", "other i. d. i. o. t. here", "other i - d - i - o - t here", "id iot", "so i di ot, they", "a id i0t here", "I D I O T!"):
+        assert "idiot" in tool.words(text), text
+    assert "kill" in tool.words("they k i ll them") and "ofthe" not in tool.words("of these the")
+    plain = tool.words("other words here, and there")
+    assert plain == Counter(["other", "words", "here", "and", "there"])
+
+
 def test_url_rules(spark):
     urls = [None, "no scheme", "http://COM/en/", "https://a.example.com/en/7x?q=1", "http://example.com/EN/7", "http://x.net?de", "http://b.example.net/de/8#f", "http://notcom/en/", "http://s.es.org/es/1", "http://com"]
     pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
