@@ -107,8 +107,8 @@ def _sets(words: int):
     return run
 
 
-def _pair_mask(sets: list[np.ndarray], side: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """n x n: True where the two sets reach the threshold, for i < j of the sides that are to be compared."""
+def _pair_mask(sets: list[np.ndarray], side: np.ndarray, threshold: Fraction, across: bool = False) -> np.ndarray:
+    """n x n: True where the two sets reach the threshold, for i < j; across: of different sides only."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     _, term = np.unique(np.concatenate(sets), return_inverse=True)
@@ -130,7 +130,7 @@ def _pair_mask(sets: list[np.ndarray], side: np.ndarray, threshold: Fraction) ->
     either = size[:, None] + size[None, :] - both
     near = both * threshold.denominator >= either * threshold.numerator
     near &= np.tri(n, k=-1, dtype=bool).T
-    if side.any():
+    if across:
         near &= side[:, None] != side[None, :]
     return near
 
@@ -139,14 +139,16 @@ def _verify(threshold: float):
     """Streams rows sorted by (cluster, i, j); one group at a time is held, of two blocks at most."""
     exact = Fraction(str(threshold))
 
-    def one(reps: list[int], sets: list[np.ndarray], side: np.ndarray):
-        n = len(reps)
+    def one(key: tuple, reps: list[int], sets: list[np.ndarray], side: np.ndarray):
+        n, across = len(reps), key[1] != key[2]
+        if across and (side.all() or not side.any()):  # the other block is empty; pairs within a block are counted at (i, i)
+            return
         if n == 2:
             both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
             near = np.zeros((2, 2), bool)
-            near[0, 1] = both * exact.denominator >= (len(sets[0]) + len(sets[1]) - both) * exact.numerator and (not side.any() or side[0] != side[1])
+            near[0, 1] = both * exact.denominator >= (len(sets[0]) + len(sets[1]) - both) * exact.numerator and (not across or side[0] != side[1])
         else:
-            near = _pair_mask(sets, side, exact)
+            near = _pair_mask(sets, side, exact, across)
         links = near.sum(axis=0) + near.sum(axis=1)
         root = np.arange(n)
         for i, j in zip(*np.nonzero(near), strict=True) if n < 64 else _tree(near):
@@ -190,16 +192,21 @@ def _verify(threshold: float):
             for r, key in enumerate(keys):
                 if key != held:
                     if len(reps) > 1:
-                        out += one(reps, sets, np.array(side))
+                        out += one(held, reps, sets, np.array(side))
                     held, reps, sets, side = key, [], [], []
+                new, k = np.frombuffer(grams[r].as_py(), C.U64), len(reps)
+                while k and reps[k - 1] == rep[r] and not np.array_equal(sets[k - 1], new):
+                    k -= 1
+                if k and reps[k - 1] == rep[r]:  # a row that repeats a doc_id and its set
+                    continue
                 reps.append(rep[r])
-                sets.append(np.frombuffer(grams[r].as_py(), C.U64))
+                sets.append(new)
                 side.append(int(own[r] != key[1]))
             if len(out) > 5000:
                 yield batch_of(out)
                 out = []
         if len(reps) > 1:
-            out += one(reps, sets, np.array(side))
+            out += one(held, reps, sets, np.array(side))
         if out:
             yield batch_of(out)
 

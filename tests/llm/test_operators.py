@@ -79,6 +79,18 @@ def test_jaccard_join(docs, empty, rows):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.class_id for r in found.values()}
 
 
+def test_jaccard_join_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 50)  # some clusters have blocks without members
+    texts = []
+    for k in range(16):
+        base = words(100, 300 + k)
+        texts += [" ".join(base[:i] + [f"new{i}"] + base[i + 1 :]) for i in range(0, 10 * (2 + k % 3), 10)]
+    rows = [*enumerate(texts), (0, texts[0]), (0, texts[0])]
+    found = {r.doc_id: r.n_links for r in jaccard_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows if (w := t.split())}
+    assert found == {i: sum(10 * len(a & b) >= 8 * len(a | b) for j, b in sets.items() if j != i) for i, a in sets.items()}
+
+
 def test_forest_depth_meets_recall():
     d = jaccard_join.forest_depth()
     assert 1 - (1 - 0.8**d) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard_join.TREES
