@@ -249,6 +249,9 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The document with the least doc_id of each class, with all its columns; rows that repeat its doc_id go too."""
-    keep = similarity_classes(docs, threshold).where("doc_id <=> class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(keep["_keep"])).drop("_keep").dropDuplicates(["doc_id"])
+    """The document with the least doc_id of each class, with all its columns; rows that repeat its doc_id go too. Rows without
+    a doc_id have a hash of their text for one, above 2**62: one stays of a class that has no doc_id."""
+    stand_in = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    keep = similarity_classes(keyed.select(F.col("_key").alias("doc_id"), "text"), threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
+    return keyed.join(keep.hint("merge"), keyed["_key"] == keep["_keep"]).drop("_keep").dropDuplicates(["_key"]).drop("_key")

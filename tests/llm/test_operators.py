@@ -91,6 +91,17 @@ def test_jaccard_join_in_blocks(spark, monkeypatch):
     assert found == {i: sum(10 * len(a & b) >= 8 * len(a | b) for j, b in sets.items() if j != i) for i, a in sets.items()}
 
 
+def test_one_of_each_keeps_documents_without_id(spark):
+    base, own = words(120, 1), words(100, 2)
+    near = [*base[:40], "changed", *base[41:]]
+    other = [*own[:40], "changed", *own[41:]]
+    rows = [(5, base), (None, near), (None, own), (None, other), (None, own), (None, words(80, 3)), (7, words(80, 4)), (None, words(80, 5))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    kept = [(r.doc_id, r.text.split()) for r in jaccard_join.one_of_each(docs).collect()]
+    assert len(kept) == 5 and sum(x in kept for x in [rows[2], rows[3]]) == 1
+    assert all(x in kept for x in [rows[0], *rows[5:]])
+
+
 def test_forest_depth_meets_recall():
     d = jaccard_join.forest_depth()
     assert 1 - (1 - 0.8**d) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard_join.TREES
