@@ -3,7 +3,8 @@
 Tokens that look disguised (signs or digits among letters, a letter three or more times in a row, letters set apart one by one)
 become lattices: each sign stands for the letters it may mimic or for nothing, a repeated letter for itself or nothing, and between spaced letters a
 word may end. Letters count as set apart with marks at them or alone between them ("i d i o t." or "i . d . i"). Chunks of at most ``CHUNK`` letters
-in a row ("id iot", "k i ll") also count as each word of up to ``JOINED`` letters that neighbours make together, beside what they are alone. Viterbi decoding takes the path of least channel cost minus log probability under a character trigram model, whose
+in a row ("id iot", "k i ll") also count as each word of up to ``JOINED`` letters that neighbours make together, beside what they are alone. are. Signs at a token's end count both as marks and as the letters that decoding
+finds in them ("a$$"), and a token all of signs that mimic is decoded ("455"). Viterbi decoding takes the path of least channel cost minus log probability under a character trigram model, whose
 counts come from all documents (per task arrays of ``SIGNS``**3 counts, added up in Spark). Other words are kept.
 
 The score is a logistic regression over words and word beginnings that the labelled sample marks as telling (by z of their log odds), fitted on the
@@ -36,6 +37,7 @@ SIGNS = 28
 # Signs and the letters that they commonly mimic.
 MIMICS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
 _SIGN_COST, _DROP_SIGN, _DROP_REPEAT, _DROP_DOUBLE, _SPLIT = 1.0, 5.0, 0.4, 4.0, 4.0
+_DROP_JUNK, _DROP_MARK = 0.2, 2.0  # of signs at a token's end: three or more alike; those that are usual marks there
 _TRAIL = ".,;:!?#$%&*|\"'()[]{}<>~_-=+/\\"
 _HEAD = ".,;:?#%&*\"'[]{}>~_-=/\\"
 _OPENS, _CLOSES = frozenset("\"'([{<"), frozenset(".,;:!?\"')]}>")
@@ -89,12 +91,20 @@ def disguised(token: str) -> bool:
     return any(c in MIMICS for c in token) or letters < len(token) or any(len(list(g)) > 2 for _, g in groupby(token))
 
 
-def decode(symbols: str, model: list, spaced: bool = False) -> list[str]:
-    """The words of least cost; spaced: a word may end after any symbol."""
+def signs_after(core: str, token: str) -> str:
+    """The signs right after the core of a token without marks at its head that may stand for last letters."""
+    tail = token[len(core) :]
+    return tail[: len(tail) - len(tail.lstrip("".join(MIMICS)))]
+
+
+def decode(symbols: str, model: list, spaced: bool = False, tail: int = 0) -> list[str]:
+    """The words of least cost; spaced: a word may end after any symbol; tail: so many signs at the end may be mere marks."""
     beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     before, runs = "", [(k, len(list(g))) for k, g in groupby(symbols)]
-    for s, long in [(k, n > 2) for k, n in runs for _ in range(n)]:
+    for i, (s, long) in enumerate((k, n > 2) for k, n in runs for _ in range(n)):
         options: list[tuple[str, float]] = [(s, 0.0)] if s.isalpha() else [(c, _SIGN_COST) for c in MIMICS.get(s, "")] + [("", _DROP_SIGN if s in MIMICS else 0.5)]
+        if i >= len(symbols) - tail and (long or s in "!|(<"):
+            options.append(("", _DROP_JUNK if long else _DROP_MARK))
         if s == before:
             options.append(("", _DROP_REPEAT if long else _DROP_DOUBLE))
         new: dict[tuple[int, int], tuple[float, str]] = {}
@@ -127,7 +137,8 @@ class Pieces(dict):
             found = ("", token if token in MIMICS else "", False, False) if len(token) <= CHUNK else None
         elif len(core) == 1 and core in MIMICS or len(core) <= CHUNK and any(map(str.isalpha, core)) and all(c.isalpha() or c in MIMICS for c in core):
             bare = core.lstrip("(<") or core  # a bracket may stand for a letter of a chunk, or open a row
-            found = (core, bare if len(bare) == 1 else "", bare != core or not _OPENS.isdisjoint(low[: len(low) - len(tail)]), not _CLOSES.isdisjoint(tail[len(core) :]))
+            signs = signs_after(core, tail)
+            found = (core + signs if len(signs) < 3 else core, bare if len(bare) == 1 else "", bare != core or not _OPENS.isdisjoint(low[: len(low) - len(tail)]), not _CLOSES.isdisjoint(tail[len(core) :]))
         if len(self) >= CACHE:
             self.clear()
         self[token] = found
@@ -145,15 +156,20 @@ class Restorer:
     def token(self, token: str) -> tuple[str, ...]:
         found = self.known.get(token)
         if found is None:
-            core = token.lower().rstrip(_TRAIL).lstrip(_HEAD)
+            low = token.lower().lstrip(_HEAD)
+            core = low.rstrip(_TRAIL)
+            signs = signs_after(core, low)
             if core.isalpha() and not disguised(core):
                 found = (core,)
             elif not any(map(str.isalpha, core)):
-                found = ()
+                whole = core + signs
+                found = tuple(decode(whole, self.model, tail=len(signs))) if core and len(whole) > 1 and all(c in MIMICS for c in whole) else ()
             elif disguised(core):
                 found = tuple(decode(core, self.model))
             else:
                 found = (core,)
+            if signs and any(map(str.isalpha, core)):  # both readings count: the signs as marks, and as the path of least cost has them
+                found += tuple(w for w in decode(core + signs, self.model, tail=len(signs)) if w not in found)
             if len(self.known) >= CACHE:
                 self.known.clear()
             self.known[token] = found

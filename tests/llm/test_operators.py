@@ -271,6 +271,20 @@ def test_toxicity_of_words_set_apart():
     assert plain == Counter(["other", "words", "here", "and", "there"])
 
 
+def test_toxicity_of_signs_at_the_end():
+    cost = np.full((toxicity.SIGNS,) * 3, 9.0)
+    for word in ("a", "ass", "idiot", "stupid", "piss", "great"):
+        at = [0, 0, *map(toxicity.sign_of, word), 0]
+        for a, b, c in zip(at, at[1:], at[2:], strict=False):
+            cost[a, b, c] = 1.0
+    tool = toxicity.Restorer(cost)
+    for text, word in {"a$$": "ass", "idio+": "idiot", "idio+.": "idiot", "pi$$,": "piss", "455": "ass", "4$$": "ass", "id io+": "idiot"}.items():
+        assert word in tool.words(text), text
+    assert tool.words("a$$")["a"] == 1
+    assert tool.words("stupid$$$") == tool.words("stupid!!") == tool.words("stupid") and tool.words("great!") == Counter(["great"])
+    assert not tool.words("$$$ !! 3. 2024 | 108.51")
+
+
 def test_url_rules(spark):
     urls = [None, "no scheme", "http://COM/en/", "https://a.example.com/en/7x?q=1", "http://example.com/EN/7", "http://x.net?de", "http://b.example.net/de/8#f", "http://notcom/en/", "http://s.es.org/es/1", "http://com"]
     pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
