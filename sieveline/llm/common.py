@@ -55,6 +55,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranges(df: DataFrame, size: int = 256 << 20) -> int:
+    """Into how many ranges to deal df: the shuffle partitions, or more where the plan knows that df has more than ``size`` bytes for each
+    (as text; files are taken to hold it three times packed)."""
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(partitions(df.sparkSession), -(-3 * known // size) if known < 1 << 60 else 1)
+
+
 def n_words(text):
     """Column: number of words of a text, 0 for null."""
     trimmed = F.regexp_replace(text, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", "")
