@@ -1,22 +1,23 @@
 """Token ids in Parquet: a list column with dictionary or delta encoding, bounded row groups and pages, and page indexes.
 
-Texts are dealt by ranges of doc_id to one file each, sorted, and encoded where they land. Spark's writer stores ids under format v2: a dictionary, or
-delta packing where it falls back, row groups of ``ROW_GROUP`` bytes and pages of ``PAGE`` bytes with column and offset indexes,
-so that a reader of doc_id and n_tokens, or of a few documents, touches only their pages.
+Texts are dealt by ranges of (doc_id, hash of the text) to one file each, sorted, and encoded where they land. Spark's writer stores ids under format v2: a
+dictionary, or delta packing where it falls back, row groups of ``ROW_GROUP`` bytes and pages of ``PAGE`` bytes with column and offset indexes.
+``read_lengths`` touches only the columns of metadata and ``read_some`` only the row groups and pages that may hold the asked documents.
 
-Tokens of the text's chunks are cached: the byte-level pre-tokeniser cuts at each single space or line break between other characters and
-between letters and the marks after them, and BPE works on each piece alone, so a piece is encoded by the library once and reused. Texts with other
-white space at a cut, or with a special token's string, are encoded whole by the library. The cache holds two generations of ``CACHE`` pieces at most;
-a piece with marks enters it when it is met again.
+The library encodes each distinct piece of a block of texts once: the byte-level pre-tokeniser cuts at each single space or line break between other characters and
+between a letter and a mark after it, and BPE works on each piece alone. Equal pieces are found by hash, and compared. Texts with other white space at a cut, or with a special token's string, are
+encoded whole by the library. Pieces are kept for later blocks in two generations of ``CACHE`` at most.
 
-Defined results: null text is empty and has only the end id; ids above 65,535 don't occur with the vocabularies of this format's users but are stored as int;
-equal doc_ids stand in order of their text; null doc_ids come first; an empty table gives an empty store.
+Defined results: null text is empty and has only the end id; ids are stored as int, whatever the vocabulary; files in the order of their names, and rows in the
+order of each file, ascend by doc_id, null first, and equal doc_ids by a hash of their text; an empty table gives an empty store.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
-from array import array
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,76 +27,144 @@ from sieveline.llm import common as C
 
 END = 2
 ROW_GROUP, PAGE = 16 << 20, 128 << 10
-CACHE, JOINED = 500_000, 60_000
+CACHE = 500_000
+#: Characters of the texts that are encoded at a time; a text of twice as many is cut between pieces.
+BLOCK = 1 << 21
 # White space other than a single space or line break between other characters, and the cutting sign itself.
 _ODD = ["\0", "  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
 _MARKS = ".,;:!?#$%&*"
 # The byte-level alphabet: printable Latin-1 stands for itself, the other bytes in turn for the signs from 256 on.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
-_held: dict[str, tuple] = {}
+_SIGNS = np.arange(256, dtype="<u4")
+_SIGNS[[b for b in range(256) if b not in _PLAIN]] = 256 + np.arange(256 - len(_PLAIN))
+_SIGNS[10] = 10  # parts pieces here
+_BETWEEN = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
+_held: dict[str, Encoder] = {}
 
 
-class Known(dict):
-    """Ids of pieces; the encoder finds those that are missing."""
+def _one_piece(piece: bytes) -> bool:
+    """Whether a piece is letters alone (up to Latin Extended-B) or ASCII digits alone, with a space before them or not: the pre-tokeniser leaves it whole."""
+    inner = piece[1:] if piece[:1] == b" " else piece
+    if inner.isalpha() or inner.isdigit():
+        return True
+    if inner.isascii():
+        return False
+    text = inner.decode()
+    return text.isalpha() and max(text) < "\u0250"
 
-    def __init__(self, tool: "Encoder"):
-        self.tool = tool
 
-    def __missing__(self, piece: str) -> bytes:
-        return self.tool.piece(piece) if piece else b""
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(_MARKS.encode())] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 class Encoder:
-    """Whole texts to ids through a cache of pieces."""
+    """Whole texts to ids through their distinct pieces."""
 
     def __init__(self, path: str, end: int = END):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.merges = self.library.model.tokenize
+        self.merges = Tokenizer.from_file(path).model
+        self.merges._resize_cache(0)  # it is asked for each piece once
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.end = np.array([end], "<u4").tobytes()
-        self.known, self.older = Known(self), Known(self)
-        self.joined: dict[str, bytes] = {}
+        self.end = end
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         # the shortcut holds for byte-level BPE with the usual pattern and no normaliser
         self.cuts = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None and not self.library.pre_tokenizer.add_prefix_space
 
-    def whole(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def keep(self, piece: str, found: bytes) -> bytes:
-        if len(piece) <= 64:
-            if len(self.known) >= CACHE:  # the younger half of what is kept becomes the older one
-                self.known, self.older = Known(self), self.known
-            self.known[piece] = found
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Adds the ids of pieces that neither generation has."""
+        plain = list(filter(_one_piece, pieces))
+        if len(plain) < len(pieces):
+            self.known.update((p, self.whole(p.decode()).tobytes()) for p in set(pieces).difference(plain))
+        if not plain:
+            return
+        signs = _SIGNS[np.frombuffer(b"\n".join(plain), np.uint8)].tobytes().decode("utf-32-le").split("\n")
+        ids = [[t.id for t in found] for found in map(self.merges.tokenize, signs)]
+        flat, at = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
+        for p, n in zip(plain, map(len, ids), strict=True):
+            self.known[p] = flat[at : at + 4 * n]
+            at += 4 * n
+
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        if len(self.known) + len(pieces) > CACHE:
+            self.known, self.older = {}, self.known
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            missing = []
+            for p in [p for p, x in zip(pieces, found, strict=True) if x is None]:
+                x = self.older.get(p)
+                if x is None:
+                    missing.append(p)
+                else:
+                    self.known[p] = x
+            self.learn(missing)
+            found = list(map(self.known.__getitem__, pieces))
+            for p in missing:
+                if len(p) > 64:  # such pieces are hardly met again
+                    del self.known[p]
         return found
 
-    def piece(self, piece: str) -> bytes:
-        """A piece that the younger generation lacks; marks after letters are pieces of their own, so that of pieces met once only the parts are kept."""
-        found = dict.get(self.older, piece) or self.joined.pop(piece, None)
-        if found:
-            return self.keep(piece, found)
-        base = piece.rstrip(_MARKS)
-        if base and len(base) < len(piece) and base.lstrip(" ").isalpha():
-            found = self.known[base] + self.known[piece[len(base) :]]
-            if len(self.joined) >= JOINED:
-                self.joined.clear()
-            if len(piece) <= 64:
-                self.joined[piece] = found
-            return found
-        if (piece[1:] if piece[0] == " " else piece).isalpha() and max(piece) < "\u0250":  # Latin letters are one pre-token
-            return self.keep(piece, array("I", [t.id for t in self.merges(piece.encode().decode("latin-1").translate(_LETTERS))]).tobytes())
-        return self.keep(piece, self.whole(piece))
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.cuts or any(s in text for s in self.special) or text[0].isspace() or text[-1].isspace() or any(s in text for s in _ODD):
-            return self.whole(text)
-        # "\0" can't be in a text that is cut here; each chunk keeps the space before it, each line break is a chunk
-        chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return b"".join(map(self.known.__getitem__, chunks))
+    def fits(self, text: str) -> bool:
+        """Whether a text may be cut; it may begin with one space."""
+        inner = text[1:] if text[:1] == " " else text
+        return self.cuts and not (not inner or inner[0].isspace() or inner[-1].isspace() or any(s in inner for s in self.special) or any(s in inner for s in _ODD))
+
+    def joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that are cut, one after another, and how many each has."""
+        data, offsets = C.text_bytes(pa.array(texts, pa.large_string()))
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        new = (data == 32) | (data == 10) | (_MARK[data] & np.append(False, _LETTER[data[:-1]]))
+        new[1:] |= data[:-1] == 10
+        new[offsets[:-1][offsets[:-1] < len(data)]] = True
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(data))
+        _, first, which = np.unique(C.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        shift = np.repeat(starts[first[which]] - starts, ends - starts)
+        shift += np.arange(len(data))
+        if not np.array_equal(data[shift], data) or not np.array_equal((ends - starts)[first[which]], ends - starts):  # two pieces of one hash
+            first = which = np.arange(len(starts))
+        raw = data.tobytes()
+        ids = self.ids_of([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        n = size[which]
+        upto = np.cumsum(n)
+        place = np.repeat((np.cumsum(size) - size)[which] - (upto - n), n)
+        place += np.arange(len(place))
+        reach = np.append(0, upto)[np.searchsorted(starts, offsets)]
+        return flat[place], np.diff(reach)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts with the end id after each, and how many each has with it."""
+        plain = [len(t) <= 2 * BLOCK and self.fits(t) for t in texts]
+        flat, count = self.joined([t if ok else "" for t, ok in zip(texts, plain, strict=True)])
+        other = {}
+        for i, (t, ok) in enumerate(zip(texts, plain, strict=True)):
+            if not ok and t:
+                other[i] = np.concatenate([self.joined([p])[0] if self.fits(p) else self.whole(p) for p in self.spans(t)])
+        if not other:  # each id moves by the end ids before it
+            out = np.full(len(flat) + len(texts), self.end, "<u4")
+            out[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), count)] = flat
+            return out, count + 1
+        at, end, parts = np.append(0, np.cumsum(count)), np.array([self.end], "<u4"), []
+        for i in range(len(texts)):
+            parts += [other.get(i, flat[at[i] : at[i + 1]]), end]
+        return np.concatenate(parts), np.array([len(x) + 1 for x in parts[::2]], np.int64)
+
+    def spans(self, text: str) -> Iterator[str]:
+        """Parts of a long text, cut before single spaces between letters, where a piece ends whatever stands elsewhere."""
+        at = 0
+        while self.cuts and len(text) - at > 2 * BLOCK and (place := _BETWEEN.search(text, at + BLOCK)):
+            yield text[at : place.start()]
+            at = place.start()
+        yield text[at:]
 
 
 def encoder(path: str) -> Encoder:
@@ -110,30 +179,30 @@ def _encode(path: str):
         tool = encoder(path)
         for batch in batches:
             texts, at, rows = batch.column("text"), 0, len(batch)
-            while at < rows:  # some 4 MB of ids at a time
-                parts, end, size = [], at, 0
-                while end < rows and size < 4 << 20:
-                    parts.append(tool.encode(texts[end].as_py() or "") + tool.end)
-                    size += len(parts[-1])
+            while at < rows:
+                block, end, size = [], at, 0
+                while end < rows and size < BLOCK:
+                    block.append(texts[end].as_py() or "")
+                    size += len(block[-1])
                     end += 1
-                lengths = np.array([len(p) // 4 for p in parts], np.int32)
-                flat = pa.array(np.frombuffer(b"".join(parts), "<i4"))
-                ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), flat)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), ids, pa.array(lengths.astype(np.int64))], names=["doc_id", "ids", "n_tokens"])
+                flat, lengths = tool.encode_all(block)
+                ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.array(flat.view("<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), ids, pa.array(lengths)], names=["doc_id", "ids", "n_tokens"])
                 at = end
 
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, files: int | None = None) -> None:
-    """Encode every text and write the store, files in ascending ranges of doc_id."""
-    files = files or C.partitions(docs.sparkSession)
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = named.mapInArrow(_encode(tokenizer), "doc_id long, ids array<int>, n_tokens long")
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, files: int | None = None, row_group: int = ROW_GROUP, page: int = PAGE) -> None:
+    """Encode every text and write the store, files in ascending ranges of doc_id. A doc_id that many rows have is dealt over several files."""
+    files = files or C.ranges(docs)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("hash", F.xxhash64("text"))
+    named = named.repartitionByRange(files, F.asc_nulls_first("doc_id"), "hash").sortWithinPartitions(F.asc_nulls_first("doc_id"), "hash", "text")
+    rows = named.select("doc_id", "text").mapInArrow(_encode(tokenizer), "doc_id long, ids array<int>, n_tokens long")
     (
         rows.write.option("parquet.writer.version", "v2")
-        .option("parquet.block.size", ROW_GROUP)
-        .option("parquet.page.size", PAGE)
+        .option("parquet.block.size", row_group)
+        .option("parquet.page.size", page)
         .option("parquet.dictionary.page.size", 1 << 20)
         .option("parquet.enable.dictionary#doc_id", "false")
         .option("compression", "zstd")
@@ -145,25 +214,36 @@ def read_tokens(spark, folder: str) -> DataFrame:
     return spark.read.schema("doc_id long, ids array<int>, n_tokens long").parquet(folder)
 
 
+def read_lengths(spark, folder: str) -> DataFrame:
+    """doc_id and n_tokens: the ids' column isn't read."""
+    return read_tokens(spark, folder).select("doc_id", "n_tokens")
+
+
+def read_some(spark, folder: str, doc_ids: list[int]) -> DataFrame:
+    """Rows of a few documents; row groups and pages whose bounds exclude them are skipped."""
+    return read_tokens(spark, folder).where(F.col("doc_id").isin([int(i) for i in doc_ids]))
+
+
 def _crc(batches):
     for batch in batches:
         ids = batch.column("ids")
-        flat, at = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-        crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("file"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "file", "n_tokens", "ids_crc32"])
+        flat, at = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_numpy()
+        data = memoryview(np.ascontiguousarray(flat)).cast("B")
+        crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "file", "row")), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "file", "row", "n_tokens", "ids_crc32"])
 
 
 def token_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Per document, from the files read back: doc_id, start, n_tokens, ids_crc32.
 
-    The running total is taken within each file, and over the files' totals, of which there is one row a file.
+    The running total is taken in each file's own order, and over the files' totals, of which there is one row a file.
     """
     spark = docs.sparkSession
     folder = C.scratch_path(spark, "tokens")
     write_tokens(docs, folder, tokenizer)
-    rows = read_tokens(spark, folder).select("doc_id", "ids", F.col("_metadata.file_path").alias("file"))
-    rows = C.stored(rows.mapInArrow(_crc, "doc_id long, file string, n_tokens long, ids_crc32 long"), "crc")
-    totals = rows.groupBy("file").agg(F.min("doc_id").alias("first"), F.sum("n_tokens").alias("total"))
-    before = totals.select("file", (F.sum("total").over(Window.orderBy(F.asc_nulls_first("first"), "file")) - F.col("total")).alias("before"))
-    within = F.sum("n_tokens").over(Window.partitionBy("file").orderBy(F.asc_nulls_first("doc_id"), "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
+    rows = read_tokens(spark, folder).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = C.stored(rows.mapInArrow(_crc, "doc_id long, file string, row long, n_tokens long, ids_crc32 long"), "crc")
+    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
+    before = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
+    within = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("upto", within).join(before, "file").select("doc_id", (F.col("before") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
