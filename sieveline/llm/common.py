@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,23 +23,19 @@ _BYTE_BASE, _WORD_BASE = U64(0x9E3779B97F4A7C55), U64(0xD6E8FEB86659FD93)
 
 # ---------------------------------------------------------------- scratch tables
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a folder of our own only where it is unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         made = getattr(spark, "_sieveline_scratch", None)
         if made is None:
             made = spark._sieveline_scratch = f"file://{tempfile.mkdtemp(prefix='sieveline-')}"
-            atexit.register(_forget, made.removeprefix("file://"))
+            atexit.register(shutil.rmtree, made.removeprefix("file://"), ignore_errors=True)
         root = made
     return root
 
 
-def _forget(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/sieveline-{name}-{uuid.uuid4().hex}"
 
@@ -48,7 +45,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sieveline_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: all that came from them is stored itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._sieveline_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:

@@ -21,15 +21,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = C.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         met = both.join(least, "u")
         out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return C.stored(out.where("a <> b").distinct(), "edges")
+        out = C.stored(out.where("a <> b").distinct(), "edges")
+        C.dropped(both, least, e)
+        return out
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     now = C.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    last = mark(now)
-    for _ in range(rounds if last[0] else 0):
-        now = star(star(now, True), False)
+    last, todo = mark(now), rounds
+    while last[0]:
+        if not todo:
+            raise RuntimeError(f"components are unfinished after {rounds} rounds")
+        now, todo = star(star(now, True), False), todo - 1
         new = mark(now)
         if new == last:
             break

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm import common, fingerprints, jaccard_join, language_id, mixing, ogg, packing, substring_dedup, token_store, toxicity, url_filter
+from sieveline.llm import common, components, fingerprints, jaccard_join, language_id, mixing, ogg, packing, substring_dedup, token_store, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -312,3 +312,44 @@ def test_least_hashed(spark):
     for n in (1, 40, 3000, 6000):
         assert [r[0] for r in common.least_hashed(rows, "doc_id", n).collect()] == every[:n]
     assert common.least_hashed(rows.where("doc_id < 0"), "doc_id", 5).count() == 0
+
+
+def test_jaccard_join_with_repeated_ids(spark):
+    """Rows of one doc_id with different texts are sets of their own; a null id counts but names no class."""
+    a, b, c = words(100, 1), words(100, 2), words(100, 3)
+    near = lambda w: [*w[:50], "changed", *w[51:]]
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (1, a), (None, c), (None, near(c)), (None, words(90, 9))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = sorted(((r.doc_id or 0), r.class_id, r.n_links, r.n_copies) for r in jaccard_join.similarity_classes(docs).collect())
+    assert found == [(0, None, 0, 1), (0, None, 1, 1), (0, None, 1, 1), (1, 1, 1, 1), (1, 1, 1, 2), (1, 1, 1, 2), (2, 1, 1, 1), (3, 1, 1, 1)]
+
+
+def test_forest_reads_on_while_links_are_missed(spark):
+    """Links near the threshold need shorter prefixes; the found ones tell so. Pairs built at 0.8 are all found."""
+    rows = []
+    for k in range(60):
+        base = words(94, 700 + k)  # 90 shingles; a changed last word and each further one cost one of them
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:-10], *words(10, 900 + k)]))]
+    found = {r.doc_id: r for r in jaccard_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows if (w := t.split())}
+    true = {i: sum(10 * len(s & o) >= 8 * len(s | o) for j, o in sets.items() if j != i) for i, s in sets.items()}
+    assert {i: r.n_links for i, r in found.items()} == true and sum(true.values()) == 120
+
+
+def test_components_raise_when_unfinished(spark):
+    chain = spark.range(300).selectExpr("id as a", "id + 1 as b")
+    assert components.components(chain).where("root <> 0").count() == 0
+    with pytest.raises(RuntimeError):
+        components.components(chain, rounds=1)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    text = " ".join(words(60, 1))
+    names = {"_keep": 1, "_key": 2, "key": 3, "keep": 4, "_id": 5, "_copy": 6, "_copies": 7, "cuts": 8, "_cut_id": 9, "_lang_pred": "x", "_lang_score": 0.5, "id": 10, "h1": 11, "th": 12, "n": 13}
+    rows = [(i, text if i < 2 else " ".join(words(70, i)), "en", "s", len(text), *names.values()) for i in range(4)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    for stage in (language_id.accepted, jaccard_join.one_of_each, substring_dedup.remove_substrings, mixing.mixed):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert {n: r[n] for n in names} == names
