@@ -17,12 +17,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
         both = both.unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        both = C.stored(both, "star")
-        least = C.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         met = both.join(least, "u")
         out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         out = C.stored(out.where("a <> b").distinct(), "edges")
-        C.dropped(both, least, e)
+        C.dropped(e)
         return out
 
     def mark(e: DataFrame) -> tuple:

@@ -228,9 +228,9 @@ def _verify(threshold: float, depths: list[int], trees: int):
 
 def _compared(docs: DataFrame, sets: DataFrame, cluster: DataFrame, threshold: float, words: int, depths: list[int], trees: int) -> DataFrame:
     """sid, root, links, missed of the members of clusters (node, cluster), by exact comparison of all members of a cluster."""
-    cluster = C.stored(cluster.join(sets.select(F.col("sid").alias("node"), "n", "rep", "th"), "node"), "clusters")
+    cluster = cluster.join(sets.select(F.col("sid").alias("node"), "n", "rep", "th"), "node")
     large = cluster.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = C.stored(cluster.join(C.stored(large, "blocks"), "cluster").select(F.col("node").alias("sid"), "cluster", "blocks", _key("rep").alias("_id"), F.col("th").alias("_th")), "members")
+    members = C.stored(cluster.join(large, "cluster").select(F.col("node").alias("sid"), "cluster", "blocks", _key("rep").alias("_id"), F.col("th").alias("_th")), "members")
     texts = docs.join(members.hint("merge"), (_key("id") == F.col("_id")) & (F.col("th") == F.col("_th")))
     grams = texts.select("sid", "cluster", "blocks", "text").mapInArrow(_sets(words), "sid long, cluster long, blocks int, grams binary")
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
@@ -242,7 +242,7 @@ def _compared(docs: DataFrame, sets: DataFrame, cluster: DataFrame, threshold: f
     n = C.partitions(docs.sparkSession)
     checked = dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "sid")
     out = C.stored(checked.mapInArrow(_verify(threshold, depths, trees), "sid long, root long, links long, missed array<double>"), "linked")
-    C.dropped(cluster, members)
+    C.dropped(members)
     return out
 
 
@@ -262,20 +262,23 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int
     linked = before = None
     depths = list(range(DEPTH, last - 1, -1))
     for level in range(len(depths)):
-        nodes = C.stored(sets.where("n > 0").select("sid", F.explode(F.slice("keys", level * trees + 1, trees)).alias("key")), "nodes")
-        met = C.stored(nodes.groupBy("key").agg(F.min("sid").alias("top"), F.max("sid").alias("far")).where("top < far").select("key", "top"), "met")
-        cluster = C.stored(components(nodes.join(met, "key").select(F.col("sid").alias("a"), F.col("top").alias("b"))).withColumnRenamed("root", "cluster"), "forest")
-        C.dropped(nodes, met)
+        nodes = sets.where("n > 0").select("sid", F.explode(F.slice("keys", level * trees + 1, trees)).alias("key"))
+        met = nodes.groupBy("key").agg(F.min("sid").alias("top"), F.max("sid").alias("far")).where("top < far").select("key", "top")
+        cluster = components(nodes.join(met, "key").select(F.col("sid").alias("a"), F.col("top").alias("b"))).withColumnRenamed("root", "cluster")
         size = C.stored(cluster.groupBy("cluster").agg(F.count("*").alias("size")), "size")
         grown = size if before is None else size.join(before, ["cluster", "size"], "left_anti")
-        todo = C.stored(cluster.join(grown.select("cluster"), "cluster", "left_semi").select("node", "cluster"), "todo")
-        new = _compared(docs, sets, todo, threshold, words, depths, trees)
-        linked = new if linked is None else C.stored(linked.join(todo.select(F.col("node").alias("sid")), "sid", "left_anti").unionByName(new), "linked")
+        if not grown.isEmpty():  # clusters that are as they were have been compared
+            todo = cluster.join(grown.select("cluster"), "cluster", "left_semi").select("node", "cluster")
+            new = _compared(docs, sets, todo, threshold, words, depths, trees)
+            linked = new if linked is None else C.stored(linked.join(todo.select(F.col("node").alias("sid")), "sid", "left_anti").unionByName(new), "linked")
         before = size
-        C.dropped(cluster, todo)
+        if linked is None:
+            continue
         links, missed = linked.agg(F.sum("links") / 2, F.sum(F.col("missed")[level])).first()
         if links and links / (links + missed) >= recall:
             break
+    if linked is None:
+        linked = docs.sparkSession.createDataFrame([], "sid long, root long, links long, missed array<double>")
     roots = components(linked.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy("sid").agg(F.sum("links").alias("n_links"))
     joined = sets.join(links, "sid", "left").join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid"))
