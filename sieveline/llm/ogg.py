@@ -5,7 +5,7 @@ packet. Even packets go to one logical stream and odd ones to another, as pages
 packet of its own. The reader checks every page's CRC and sequence number, joins packets from lacing values (also across
 pages), separates the streams by serial number, takes each packet's time from granule positions, and puts packets back by time.
 
-Defined results: null text is empty and gives one packet of bytes 255; equal texts give equal bytes (serial numbers are fixed); broken pages raise ValueError.
+Defined results: null text is empty and gives one packet of bytes 255; equal texts give equal bytes (serial numbers are fixed); broken pages, streams without an end, and pages after it raise ValueError.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def encode(payload: bytes) -> bytes:
 
 def demultiplex(data: bytes) -> dict[int, list[tuple[bytes, int]]]:
     """Packets of each logical stream with the granule position of the page on which they end."""
-    at, open_, streams, sequence = 0, {}, {}, {}
+    at, open_, streams, sequence, ended = 0, {}, {}, {}, set()
     while at < len(data):
         if len(data) < at + 27:
             raise ValueError("page header is cut short")
@@ -95,9 +95,13 @@ def demultiplex(data: bytes) -> dict[int, list[tuple[bytes, int]]]:
             raise ValueError(f"no whole page at byte {at}")
         if crc(b"".join((whole[:22], b"\0\0\0\0", whole[26:]))) != check:
             raise ValueError(f"wrong checksum of the page at byte {at}")
+        if serial in ended:
+            raise ValueError(f"stream {serial:#x} goes on after its end")
         if number != sequence.get(serial, 0) or bool(flags & 2) != (number == 0) or bool(flags & 1) != bool(open_.get(serial)):
             raise ValueError(f"page {number} of stream {serial:#x} is out of order")
         sequence[serial] = number + 1
+        if flags & 4:
+            ended.add(serial)
         packets, rest = streams.setdefault(serial, []), open_.pop(serial, [])
         pos = 27 + n
         for value in lacing:
@@ -111,6 +115,8 @@ def demultiplex(data: bytes) -> dict[int, list[tuple[bytes, int]]]:
         at += size
     if open_:
         raise ValueError("a packet doesn't end")
+    if missing := streams.keys() - ended:
+        raise ValueError(f"no end of stream {', '.join(f'{s:#x}' for s in sorted(missing))}")
     return streams
 
 
