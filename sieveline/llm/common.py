@@ -19,6 +19,7 @@ PIECE_BYTES = 1 << 20
 
 U64 = np.uint64
 _BYTE_BASE, _WORD_BASE = U64(0x9E3779B97F4A7C55), U64(0xD6E8FEB86659FD93)
+OTHER_BASE = U64(0xC2B2AE3D27D4EB4F)
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -157,8 +158,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offsets, "left")
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit Rabin-Karp hash of each word's bytes, mixed."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _BYTE_BASE) -> np.ndarray:
+    """A 64-bit Rabin-Karp hash of each word's bytes, mixed; another odd base makes another, independent hash."""
     if not len(starts):
         return np.zeros(0, U64)
     length = ends - starts
@@ -166,7 +167,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     np.cumsum(length[:-1], out=first[1:])
     place = np.arange(int(length.sum())) - np.repeat(first, length)
     source = place + np.repeat(starts, length)
-    value = (data[source].astype(U64) + U64(1)) * powers(_BYTE_BASE, int(length.max()))[place]
+    value = (data[source].astype(U64) + U64(1)) * powers(base, int(length.max()))[place]
     return mix(np.add.reduceat(value, first) + length.astype(U64))
 
 

@@ -4,7 +4,7 @@ Every window of ``width`` words is hashed by a rolling polynomial. Consecutive w
 *run*; equal windows have equal least hashes, so windows of runs with different keys never match and need not meet. Runs are
 counted first, by key, then by the hash of all the words that they span: a run that occurs as a whole in an earlier document
 is removed as a whole, and only the first occurrence of each distinct run of a repeated key sends its windows' own (128-bit)
-hashes to be counted. The removed windows of a document merge into maximal intervals.
+hashes to be counted; the two halves come from word hashes of different bases. The removed windows of a document merge into maximal intervals.
 
 Hot passages meet in partial aggregations and in joins of two plain shuffles, which Spark splits when they are skewed; no
 group is gathered but the intervals of one document.
@@ -26,7 +26,7 @@ from sieveline.llm import common as C
 
 WIDTH = 50
 GRAM = 16
-_RUNS = "k long, ctx long, id long, s int, e int"
+_RUNS = "k long, ctx long, ctx2 long, id long, s int, e int"
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -53,6 +53,7 @@ def _runs(width: int):
                 grams = roll.windows(gram)
                 if len(grams) < width - gram + 1:
                     continue
+                other = C.Rolling(C.word_hashes(part, starts, ends, C.OTHER_BASE), 0x5DEECE66D)
                 least = _sliding_min(grams, width - gram + 1)  # one value for each window of all words
                 doc = np.repeat(np.arange(b - a), np.diff(first))[: len(least)]
                 ok = np.arange(len(least)) + width <= first[doc + 1]
@@ -68,11 +69,12 @@ def _runs(width: int):
                     [
                         pa.array(C.signed(least[begin])),
                         pa.array(C.signed(roll.ranges(begin, end + width - 1))),
+                        pa.array(C.signed(other.ranges(begin, end + width - 1))),
                         pa.array(ids[a:b][own].astype(np.int64)),
                         pa.array((begin - first[own]).astype(np.int32)),
                         pa.array((end - first[own]).astype(np.int32)),
                     ],
-                    names=["k", "ctx", "id", "s", "e"],
+                    names=["k", "ctx", "ctx2", "id", "s", "e"],
                 )
 
     return run
@@ -90,7 +92,7 @@ def _windows(width: int):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 starts, ends, first = C.words_of(part, at)
                 hashes = C.word_hashes(part, starts, ends)
-                one, two = C.Rolling(hashes).windows(width), C.Rolling(hashes, 0x5DEECE66D).windows(width)
+                one, two = C.Rolling(hashes).windows(width), C.Rolling(C.word_hashes(part, starts, ends, C.OTHER_BASE), 0x5DEECE66D).windows(width)
                 span = [(i, r["s"], r["e"]) for i in range(a, b) for r in runs[i]]
                 if not span:
                     continue
@@ -117,14 +119,14 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     runs = C.stored(named.where("text is not null").mapInArrow(_runs(width), _RUNS), "runs")
     shared = C.stored(
         runs.groupBy("k")
-        .agg(F.min("id").alias("lo"), F.max("id").alias("hi"), (F.min("ctx") < F.max("ctx")).alias("several"))
+        .agg(F.min("id").alias("lo"), F.max("id").alias("hi"), ((F.min("ctx") < F.max("ctx")) | (F.min("ctx2") < F.max("ctx2"))).alias("several"))
         .where("lo < hi")
         .select("k", "several"),
         "shared",
     )
     found = C.stored(runs.join(shared, "k"), "found")
-    owner = C.stored(found.groupBy("k", "ctx").agg(F.min("id").alias("owner")), "owner")
-    judged = C.stored(found.join(owner, ["k", "ctx"]), "judged")
+    owner = C.stored(found.groupBy("k", "ctx", "ctx2").agg(F.min("id").alias("owner")), "owner")
+    judged = C.stored(found.join(owner, ["k", "ctx", "ctx2"]), "judged")
     whole = judged.where("id > owner").select("id", "s", (F.col("e") + (width - 1)).alias("e"))
     first = judged.where("id = owner and several").groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("runs"))
     windows = C.stored(named.join(first, "id").mapInArrow(_windows(width), "h1 long, h2 long, id long, pos int"), "windows")
@@ -177,15 +179,15 @@ def substring_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return both.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def _rewrite(drop_empty: bool):
+def _rewrite(drop_empty: bool, column: str):
     def run(batches):
         for batch in batches:
             texts, keep = batch.column("text").to_pylist(), np.ones(len(batch), bool)
-            for i, cuts in enumerate(batch.column("cuts").to_pylist()):
+            for i, cuts in enumerate(batch.column(column).to_pylist()):
                 if cuts:
                     texts[i] = _kept(texts[i], cuts)[2].decode()
                     keep[i] = not drop_empty or texts[i] != ""
-            names = [n for n in batch.schema.names if n != "cuts"]
+            names = [n for n in batch.schema.names if n != column]
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
@@ -198,9 +200,10 @@ def remove_substrings(docs: DataFrame, width: int = WIDTH, drop_empty: bool = Tr
     Untouched texts stay as they are. With drop_empty, a document that lost all its words goes. n_chars, where there is such
     a column, follows the text.
     """
-    cuts = removal_intervals(docs.select("doc_id", "text"), width).withColumnRenamed("id", "_cut_id")
-    both = docs.join(cuts.hint("merge"), docs["doc_id"].cast("long") == cuts["_cut_id"], "left").drop("_cut_id")
-    out = both.mapInArrow(_rewrite(drop_empty), docs.schema)
+    key, column = C.free(docs, "cut_id"), C.free(docs, "cuts")
+    cuts = removal_intervals(docs.select("doc_id", "text"), width).select(F.col("id").alias(key), F.col("cuts").alias(column))
+    both = docs.join(cuts.hint("merge"), F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
+    out = both.mapInArrow(_rewrite(drop_empty, column), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out
