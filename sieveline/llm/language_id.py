@@ -1,12 +1,12 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-A text is cut into segments: runs of letters (ASCII lower-cased) and of bytes from 128 up, at most ``SEGMENT`` bytes long, with
-a boundary byte on each side. The network reads a segment in both directions and gives every position a distribution over the
-languages; a document's probabilities are the mean over all positions of its whole text. A segment's
-sum is a function of its bytes alone, so a worker keeps the sums of up to ``CACHE`` segments.
+A text is read as letters (ASCII lower-cased) and bytes from 128 up; each run of other bytes is one boundary. It is cut into segments, each a run of letters with
+the boundary after it, of at most ``SEGMENT`` bytes. The network reads a segment in both directions, with a boundary on each side, and gives every position, boundaries
+included, a distribution over the languages; a document's probabilities are the mean over all positions of its whole text. State doesn't cross a boundary: a segment's
+sum is a function of its bytes alone, so a worker keeps the sums of up to ``CACHE`` segments, without which reading all bytes in numpy would cost several times the CPU.
 
-The model is fitted on the driver to at most ``SAMPLE`` labelled documents, chosen by a hash of doc_id, and is a few
-kilobytes whatever the input. Everything else is one pass without a shuffle.
+The languages are all that labelled documents have. The model is fitted on the driver to at most ``SAMPLE`` labelled documents, shared evenly by the languages and chosen by a
+hash of doc_id, of each at most its first ``LONGEST`` characters; it is a few kilobytes whatever the input. Everything else is one pass without a shuffle.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without any labelled document all are ``und``; a null doc_id is held out of
 training; repeated rows are judged alike; an empty table gives an empty result.
@@ -19,12 +19,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sieveline.llm import common as C
 
 SAMPLE = 1200
-SEGMENT = 16
+#: Characters of a document that are learned from; all of it is judged.
+LONGEST = 1 << 15
+SEGMENT = 64
 CACHE = 300_000
 HIDDEN, EMBED = 16, 12
 STEPS, BATCH = 500, 96
@@ -35,18 +37,30 @@ _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else
 def segments(text: str | None) -> list[bytes]:
     parts = (text or "").encode().translate(_FOLD).split()
     if any(len(p) > SEGMENT for p in parts):
-        parts = [p[i : i + SEGMENT] for p in parts for i in range(0, len(p), SEGMENT)]
+        parts = [q for p in parts for q in _cut(p)]
     return parts
 
 
+def _cut(word: bytes) -> list[bytes]:
+    """Pieces of at most SEGMENT bytes; none begins inside a letter."""
+    out = []
+    while len(word) > SEGMENT:
+        at = SEGMENT
+        while at > SEGMENT - 4 and 128 <= word[at] < 192:
+            at -= 1
+        out.append(word[:at])
+        word = word[at:]
+    return [*out, word] if word else out
+
+
 def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte codes, time by word, boundary (0) on both sides; and a mask of the word's own positions."""
+    """Byte codes, time by word, boundary (0) on both sides; and a mask of the word's own positions with the boundary after it."""
     length = np.array([len(w) for w in words])
     codes = np.zeros((int(length.max()) + 2, len(words)), np.int64)
     row = np.arange(codes.shape[0])[:, None]
     mask = (row >= 1) & (row <= length[None, :])
     codes.T[mask.T] = np.frombuffer(b"".join(words), np.uint8)
-    return codes, mask
+    return codes, (row >= 1) & (row <= length[None, :] + 1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -164,9 +178,20 @@ def held_out(name: str = "doc_id"):
 
 
 def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most ``sample`` labelled documents outside the held-out part, by least hash of doc_id."""
-    rows = docs.where("lang is not null and text is not null").where(~held_out()).select("doc_id", "text", "lang")
-    return [(r["text"], r["lang"]) for r in C.least_hashed(rows, "doc_id", sample).collect()]
+    """(text, language) of at most ``sample`` labelled documents outside the held-out part: of each language, those of least hash of doc_id."""
+    rows = docs.where("lang is not null and text is not null").where(~held_out()).select("doc_id", F.substring("text", 1, LONGEST).alias("text"), "lang")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    if not counts:
+        return []
+    if len(counts) > sample:
+        raise ValueError(f"{len(counts)} languages for a sample of {sample}")
+    each, bound = sample // len(counts), F.lit(2**63 - 1)
+    for lang, n in counts.items():  # rows under a bound that some 2 * each + 100 are expected to meet
+        if n > 2 * each + 100:
+            bound = F.when(F.col("lang") == lang, F.lit(int((2 * each + 100) / n * 2.0**64) - 2**63)).otherwise(bound)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+    few = rows.where(F.xxhash64("doc_id") <= bound).withColumn("place", place).where(F.col("place") <= each)
+    return [(r["text"], r["lang"]) for r in few.orderBy("lang", "place").select("text", "lang").collect()]
 
 
 class Table:
@@ -198,7 +223,7 @@ def table() -> Table:
     return _table
 
 
-def _judge(model: Network | None):
+def _judge(model: Network | None, names: tuple[str, str]):
     # a fitted model is told from others by its weights, for the worker's table
     key = 0 if model is None else zlib.crc32(b"".join(model.w[k].tobytes() for k in sorted(model.w)))
 
@@ -229,25 +254,25 @@ def _judge(model: Network | None):
             settle(todo)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in batch.schema.names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=[*batch.schema.names, "_lang_pred", "_lang_score"],
+                names=[*batch.schema.names, *names],
             )
 
     return run
 
 
-def identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs with _lang_pred and _lang_score."""
+def identified(docs: DataFrame, sample: int = SAMPLE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its score under the given names, which docs must not have."""
     model = train(labelled_sample(docs, sample))
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    schema = StructType([*docs.schema.fields]).add("_lang_pred", StringType()).add("_lang_score", DoubleType())
-    return docs.mapInArrow(_judge(model), schema)
+    schema = StructType([*docs.schema.fields]).add(names[0], StringType()).add(names[1], DoubleType())
+    return docs.mapInArrow(_judge(model, names), schema)
 
 
 def predictions(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score."""
     out = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
-    return out.select("doc_id", held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 #: Least mean probability of the best language that a kept document has.
@@ -255,5 +280,7 @@ LEAST_SCORE = 0.4
 
 
 def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents in a learned language; those without letters, or without a clear language, go."""
-    return identified(docs).where(f"_lang_pred <> '{UNKNOWN}' and _lang_score >= {least}").select(*docs.columns)
+    """The documents in a learned language, with all their columns, whatever the names; those without text or letters (``und``), or without a clear
+    language, go. Repeated rows are judged alike and stay repeated; without any labelled document none stays; an empty table stays empty."""
+    names = (C.free(docs, "lang_pred"), C.free(docs, "lang_score"))
+    return identified(docs, names=names).where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).select(*docs.columns)
