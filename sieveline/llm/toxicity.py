@@ -3,12 +3,12 @@
 Tokens that look disguised (signs or digits among letters, a letter three or more times in a row, letters set apart one by one)
 become lattices: each sign stands for the letters it may mimic or for nothing, a repeated letter for itself or nothing, and between spaced letters a
 word may end. Letters count as set apart with marks at them or alone between them ("i d i o t." or "i . d . i"). Chunks of at most ``CHUNK`` letters
-in a row ("id iot", "k i ll") also count as each word of up to ``JOINED`` letters that neighbours make together, beside what they are alone. are. Signs at a token's end count both as marks and as the letters that decoding
+in a row ("id iot", "k i ll") also count as each word of up to ``JOINED`` letters that neighbours make together, beside what they are alone. Signs at a token's end count both as marks and as the letters that decoding
 finds in them ("a$$"), and a token all of signs that mimic is decoded ("455"). Viterbi decoding takes the path of least channel cost minus log probability under a character trigram model, whose
 counts come from all documents (per task arrays of ``SIGNS``**3 counts, added up in Spark). Other words are kept.
 
 The score is a logistic regression over words and word beginnings that the labelled sample marks as telling (by z of their log odds), fitted on the
-driver to at most ``SAMPLE`` labelled documents of either class, chosen by a hash of doc_id. Scoring is one pass without a shuffle.
+driver to at most ``SAMPLE`` labelled documents of either class of at most ``LONGEST`` characters, chosen by a hash of doc_id. Scoring is one pass without a shuffle.
 
 Defined results: null text is empty and has the base score; documents whose label is null or missing aren't learned from; of several labels of a doc_id the
 greatest counts; without labels of both classes all scores are 0; a null doc_id is not held out and never learned from; an empty table gives an empty result.
@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 from sieveline.llm import common as C
 
 SAMPLE = 2500
+#: Characters of the longest document that labels are learned from; longer ones are scored like all others.
+LONGEST = 1 << 16
 THRESHOLD = 0.3
 CACHE = 200_000
 #: Letters of a piece that may be a chunk of a word set apart, and of the word; marks alone are part of a run up to so many, too.
@@ -351,7 +353,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         return model, None
     few = docs.sparkSession.createDataFrame(chosen, "_id long, _y int")
     few = F.broadcast(few)  # 2 * sample rows of two numbers
-    found = docs.join(few, docs["doc_id"].cast("long") == few["_id"]).select("doc_id", "text", "_y").orderBy("doc_id", "text").collect()
+    texts = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).join(few, docs["doc_id"].cast("long") == few["_id"])
+    one = texts.groupBy("_id").agg(F.min_by(F.struct("text", "_y"), F.struct(F.xxhash64("text"), "text")).alias("one"))  # rows that repeat a doc_id: one of them
+    found = one.orderBy("_id").select("one.text", "one._y").collect()
     tool = Restorer(model)
     return model, fit([(tool.words(r["text"]), r["_y"]) for r in found], counts.get(1, 0) / max(1, counts.get(0, 0)))
 
