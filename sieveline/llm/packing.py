@@ -5,7 +5,8 @@ most; on it, dynamic programming finds the ``BUCKETS`` bounds with the least pad
 bound). A batch of a bucket takes budget // bound sequences, numbered over the whole bucket: sequences are numbered within
 shards, and shards are offset by the counts of those before, so that only each bucket's last batch is short. A hot bucket is many shards.
 
-Defined results: tokens are words; null texts and texts without words have no sequence and don't appear; sequences of rows that repeat a doc_id are numbered apart;
+Defined results: tokens are the ids of a tokenizer with the end id after each text, or words where none is given; a sequence is the span of its document's
+tokens from start on; null and empty texts (with words: those without any) have no sequence and don't appear; sequences of rows that repeat a doc_id are numbered apart;
 equal padding prefers the smaller bounds; an empty table gives an empty result.
 """
 
@@ -15,6 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sieveline.llm import common as C
+from sieveline.llm.token_store import token_counts
 
 CONTEXT = 2048
 BUCKETS = 8
@@ -50,9 +52,10 @@ def bounds(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> lis
         j, level = int(choice[level][j]), level - 1
 
 
-def pack(docs: DataFrame, context: int = CONTEXT, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """Per sequence: doc_id, part, n_tokens, bucket, bucket_length, padding, batch, slot."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.n_words(F.col("text")).alias("n")).where("n > 0")
+def pack(docs: DataFrame, tokenizer: str | None = None, context: int = CONTEXT, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+    """Per sequence: doc_id, part, start and n_tokens (its span of the document's tokens), bucket, bucket_length, padding, batch, slot."""
+    sized = token_counts(docs, tokenizer) if tokenizer else docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.n_words(F.col("text")).alias("n"))
+    sized = sized.where("n > 0")
     cut = sized.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.lit(context)))))
     rows = C.stored(cut.select("doc_id", "part", F.least(F.col("n") - F.col("part") * context, F.lit(context)).cast("int").alias("n_tokens")), "lengths")
     histogram = sorted(rows.groupBy("n_tokens").count().collect())
@@ -72,7 +75,13 @@ def pack(docs: DataFrame, context: int = CONTEXT, buckets: int = BUCKETS, budget
         .join(ahead, ["bucket", "shard"])
         .withColumn("number", F.col("number") + F.col("ahead"))
         .select(
-            "doc_id", "part", "n_tokens", "bucket", "bucket_length", (F.col("bucket_length") - F.col("n_tokens")).alias("padding"),
+            "doc_id", "part", (F.col("part") * context).alias("start"), "n_tokens", "bucket", "bucket_length", (F.col("bucket_length") - F.col("n_tokens")).alias("padding"),
             F.floor(F.col("number") / per).cast("long").alias("batch"), F.pmod(F.col("number"), per).cast("long").alias("slot"),
         )
     )
+
+
+def batch_tokens(packed: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The sequences with their ids: packed (of documents with unique doc_ids) and a token store (doc_id, ids)."""
+    both = packed.join(tokens.select(F.col("doc_id").alias("_id"), F.col("ids").alias("_ids")), F.col("doc_id").eqNullSafe(F.col("_id")))
+    return both.withColumn("ids", F.slice("_ids", (F.col("start") + 1).cast("int"), F.col("n_tokens"))).drop("_id", "_ids")

@@ -31,8 +31,10 @@ def op5_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return token_store.token_digest(_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def op6_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+def op6_length_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,21 +174,27 @@ def encoder(path: str) -> Encoder:
     return _held[path]
 
 
+def blocks_of(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Where each block of texts of about BLOCK characters begins, and its texts; null is empty."""
+    at = 0
+    while at < len(texts):
+        block, end, size = [], at, 0
+        while end < len(texts) and size < BLOCK:
+            block.append(texts[end].as_py() or "")
+            size += len(block[-1])
+            end += 1
+        yield at, block
+        at = end
+
+
 def _encode(path: str):
     def run(batches):
         tool = encoder(path)
         for batch in batches:
-            texts, at, rows = batch.column("text"), 0, len(batch)
-            while at < rows:
-                block, end, size = [], at, 0
-                while end < rows and size < BLOCK:
-                    block.append(texts[end].as_py() or "")
-                    size += len(block[-1])
-                    end += 1
+            for at, block in blocks_of(batch.column("text")):
                 flat, lengths = tool.encode_all(block)
                 ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.array(flat.view("<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), ids, pa.array(lengths)], names=["doc_id", "ids", "n_tokens"])
-                at = end
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(block)), ids, pa.array(lengths)], names=["doc_id", "ids", "n_tokens"])
 
     return run
 
@@ -210,6 +216,23 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, files: int | None
     )
 
 
+def _counted(path: str):
+    def run(batches):
+        tool = encoder(path)
+        for batch in batches:
+            for at, block in blocks_of(batch.column("text")):
+                _, lengths = tool.encode_all(block)
+                lengths[[not t for t in block]] = 0
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(block)), pa.array(lengths)], names=["doc_id", "n"])
+
+    return run
+
+
+def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, n: ids of each text with the end id, 0 for empty and null texts."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counted(tokenizer), "doc_id long, n long")
+
+
 def read_tokens(spark, folder: str) -> DataFrame:
     return spark.read.schema("doc_id long, ids array<int>, n_tokens long").parquet(folder)
 
