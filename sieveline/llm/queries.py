@@ -42,9 +42,10 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels: a page is bad if the label of its number calls it toxic or of low quality."""
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return url_filter.judged(_table(spark, sf_dir, "pages"), labels)
+    """Labels: a page is bad if the document that it shows is toxic or of low quality."""
+    pages = _table(spark, sf_dir, "pages")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filter.judged(pages, url_filter.shown_labels(pages, labels))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

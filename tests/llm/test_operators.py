@@ -622,3 +622,69 @@ def test_fingerprints_estimate_closely(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     one, two = (Counter((r.doc_id, r.n_chars, r.fingerprint, r.edited_sha256) for r in fingerprints.fingerprint_digest(d).collect()) for d in (docs, docs.repartition(6)))
     assert one == two and sum(one.values()) == 200
+
+
+def brute_rules(rows, length):
+    """Rules by counting every set of tokens: Apriori without its shortcuts."""
+    import itertools
+
+    n, bad = len(rows), sum(b for _, b in rows)
+    least = max(-(-url_filter.SUPPORT * bad // 1), url_filter.LEAST_ROWS)
+    counts = Counter()
+    for items, b in rows:
+        for k in range(1, length + 1):
+            for c in itertools.combinations(sorted(set(items)), k):
+                counts[c, 0] += 1
+                counts[c, 1] += b
+    rules = {}
+    for (c, kind), hits in counts.items():
+        if kind and hits >= least:
+            shown = counts[c, 0]
+            p, z = hits / shown, 1.96
+            lower = (p + z * z / (2 * shown) - z * (p * (1 - p) / shown + z * z / (4 * shown * shown)) ** 0.5) / (1 + z * z / shown)
+            if lower >= url_filter.CONFIDENCE and p >= (1 + url_filter.LIFT) * bad / n:
+                rules[c] = p
+    return {c: p for c, p in rules.items() if not any(q in rules and rules[q] >= p for k in range(1, len(c)) for q in itertools.combinations(c, k))}
+
+
+@pytest.mark.parametrize("wide", [0, 30])
+def test_mined_rules_against_counting(spark, wide):
+    draw = random.Random(3)
+    rows = []
+    for _ in range(1500):
+        items = draw.sample([f"t{k}" for k in range(9)], draw.randint(1, 5))
+        risk = 0.9 if {"t1", "t2"} <= set(items) else 0.8 if "t3" in items and "t4" not in items else 0.95 if {"t4", "t5", "t6"} <= set(items) else 0.1
+        rows.append((items, draw.random() < risk))
+    found = url_filter.mine(spark.createDataFrame(rows, "items array<string>, bad boolean"), wide=wide).collect()
+    want = brute_rules(rows, url_filter.LENGTH)
+    assert len(want) >= 3 and max(map(len, want)) > 1
+    assert {tuple(r.antecedent): round(r.confidence, 9) for r in found} == {c: round(p, 9) for c, p in want.items()}
+    freq = Counter(t for items, _ in rows for t in set(items))
+    assert all(r.key == min(r.antecedent, key=lambda t: (freq[t], t)) for r in found)
+
+
+def test_mined_rules_decide_pages(spark):
+    """Documents' labels reach pages through the number in the path; pages that no fixed rule covers are judged by what was mined."""
+    draw = random.Random(6)
+    rows, labels = [], []
+    for i in range(3000):
+        spam = i % 3 == 0
+        kind = "win" if spam else draw.choice(["news", "blog"])
+        rows.append((i, f"http://{'promo' if spam and i % 2 else 'www'}.site{i % 40}.test/{kind}/{100_000 + i}.html?ref=x", ""))
+        labels.append((100_000 + i, spam if draw.random() < 0.95 else not spam))
+    pages = spark.createDataFrame([*rows, (9000, "http://x.com/en/100000", ""), (9001, "http://a.test/win/no", ""), (9002, None, "")], "page_id long, url string, html string")
+    marks = spark.createDataFrame([x for x in labels if x[0] % 5], "doc_id long, bad boolean")
+    shown = url_filter.shown_labels(pages, marks)
+    assert shown.where("page_id < 9000").count() == len([x for x in labels if x[0] % 5])
+    out = {r.page_id: r for r in url_filter.judged(pages, shown).collect()}
+    assert all((out[i].verdict == "block") == (i % 3 == 0) and out[i].rule is None for i in range(3000))
+    assert "path0=win" in out[0].matched and out[9000].rule == "com/en/" and out[9001].verdict == "block" and out[9002].verdict == "allow"
+
+
+def test_forty_shared_tokens(spark):
+    names = "&".join(f"q{k}=1" for k in range(40))
+    rows = [(i, f"http://h.test/a/{i}?{names}" if i % 2 else f"http://h.test/b/{i}", "") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    labels = spark.createDataFrame([(i, bool(i % 2)) for i in range(60)], "page_id long, bad boolean")
+    out = url_filter.judged(pages, labels).collect()
+    assert all((r.verdict == "block") == bool(r.page_id % 2) for r in out)
