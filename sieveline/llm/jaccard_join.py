@@ -28,7 +28,7 @@ from sieveline.llm.components import components
 
 WORDS = 5
 THRESHOLD = 0.8
-TREES, DEPTH = 20, 6
+TREES, DEPTH = 20, 5
 RECALL = 0.9999
 #: Shingles of a block of a large cluster, and of a task's work on two blocks: 2 * BLOCK.
 BLOCK = 1 << 16
