@@ -47,16 +47,51 @@ def to_unit(px: str, limit: str = "1d") -> str:
 
 
 def to_u8(px: str) -> str:
-    """Truncating."""
-    return f"transform({px}, x -> cast(floor(least(greatest(x, 0d), 1d) * 255d) as int))"
+    """Truncating; a value over 1 anywhere means a 0..255 scale."""
+    return f"case when array_max({px}) > 1d then transform({px}, x -> cast(floor(least(greatest(x, 0d), 255d)) as int)) else transform({px}, x -> cast(floor(least(greatest(x, 0d), 1d) * 255d) as int)) end"
 
 
 def to_u8_half_even(px: str) -> str:
-    return f"transform({px}, x -> cast(bround(least(greatest(x, 0d), 1d) * 255d, 0) as int))"
+    """Rounding halves to even; over 1 by more than a millionth anywhere means a 0..255 scale."""
+    return f"case when array_max({px}) <= 1d + 1e-6d then transform({px}, x -> cast(bround(least(greatest(x * 255d, 0d), 255d), 0) as int)) else transform({px}, x -> cast(bround(least(greatest(x, 0d), 255d), 0) as int)) end"
+
+
+def to_u8_clip(px: str) -> str:
+    """Clipped to 0..255 without scaling: only right for values on that scale."""
+    return f"transform({px}, x -> cast(floor(least(greatest(x, 0d), 255d)) as int))"
+
+
+def _place(values: str, q: str) -> str:
+    """Linear interpolation in sorted values."""
+    at = f"({q} * (size({values}) - 1))"
+    low = f"{values}[cast(floor({at}) as int)]"
+    return f"({low} + ({at} - floor({at})) * ({values}[cast(ceil({at}) as int)] - {low}))"
 
 
 def percentile(px: str, q: str) -> str:
-    """Linear interpolation between sorted values."""
-    at = f"({q} * (size({px}) - 1))"
-    low = f"array_sort({px})[cast(floor({at}) as int)]"
-    return f"({low} + ({at} - floor({at})) * (array_sort({px})[cast(ceil({at}) as int)] - {low}))"
+    """Linear interpolation between sorted values; the array is sorted once."""
+    return f"transform(array(array_sort({px})), s -> {_place('s', q)})[0]"
+
+
+def stretch(px: str, low: str, high: str) -> str:
+    """Contrast between two percentiles to [0, 1]; the span is at least 1e-8."""
+    ends = f"transform(array(array_sort({px})), s -> named_struct('a', {_place('s', low)}, 'b', {_place('s', high)}))[0]"
+    return f"flatten(transform(array({ends}), e -> transform({px}, x -> least(greatest((x - e.a) / greatest(e.b - e.a, 1e-8d), 0d), 1d))))"
+
+
+def center(mask: str, side: int, size: int):
+    """Mean of the size x size window in the middle of a side x side mask."""
+    from pyspark.sql import functions as F
+
+    first = side // 2 - size // 2
+    inside = f"filter({mask}, (x, i) -> i div {side} >= {first} and i div {side} < {first + size} and i % {side} >= {first} and i % {side} < {first + size})"
+    return F.expr(f"aggregate(transform({inside}, x -> cast(x as double)), 0d, (a, x) -> a + x) / {size * size}d")
+
+
+def pooled(tokens: str, first: int):
+    """Token 0 and the mean of the tokens from place ``first`` on, one vector after the other; tokens is an array of arrays."""
+    from pyspark.sql import functions as F
+
+    rest = f"slice({tokens}, {first + 1}, size({tokens}) - {first})"
+    mean = f"transform({tokens}[0], (x, i) -> aggregate(transform({rest}, t -> t[i]), 0d, (a, v) -> a + v) / size({rest}))"
+    return F.expr(f"concat({tokens}[0], {mean})")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sieveline.operators import ordering as O
+
 
 def key(seed: int, column: str = "idx") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string")))
@@ -28,13 +30,69 @@ def balanced(df: DataFrame, n: int, label: str = "label", seed: int = 42, column
     return half.unionByName(rest).drop("rn")
 
 
+def stratum_seed(seed: int, dataset: int = 0, split: int = 0) -> int:
+    """Seeds of their own for the splits and datasets of one run."""
+    return seed + split * 10_007 + dataset * 123
+
+
+def extremes(df: DataFrame, column: str, share: float, n: int, least: bool = True) -> DataFrame:
+    """n rows at the edge of a tail: the greatest of those at or below a percentile, or with least=False the n greatest of all."""
+    if least:
+        cut = O.percentiles(df, column, [share], names=["_cut"])
+        df = df.crossJoin(F.broadcast(cut)).where(F.col(column) <= F.col("_cut")).drop("_cut")  # one row
+    return df.orderBy(F.desc(column), "idx").limit(n)
+
+
+def above(df: DataFrame, column: str, threshold: float, n: int) -> DataFrame:
+    """The n greatest of the rows over a threshold."""
+    return df.where(F.col(column) > threshold).orderBy(F.desc(column), "idx").limit(n)
+
+
+def first_matches(df: DataFrame, condition: Column, n: int = 12, among: int = 200) -> DataFrame:
+    """The first n rows that fit among the first rows by idx."""
+    return df.orderBy("idx").limit(among).where(condition).orderBy("idx").limit(n)
+
+
 def group_holdout(df: DataFrame, group: str, share: float, seed: int = 42) -> DataFrame:
-    """Adds holdout: whole groups, max(1, share of them rounded half to even), by least hash."""
+    """Adds holdout: whole groups, max(1, share of them rounded half to even), by least hash. Groups are ranked by ranges of their hash."""
     groups = df.select(group).distinct()
-    n = groups.agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(share)).cast("long")).alias("n"))
-    order = Window.orderBy(key(seed, group))
-    held = groups.withColumn("rn", F.row_number().over(order)).join(F.broadcast(n), F.col("rn") <= F.col("n")).select(group, F.lit(True).alias("_h"))
-    return df.join(held, group, "left").withColumn("holdout", F.coalesce("_h", F.lit(False))).drop("_h")
+    n = max(1, round(groups.count() * share))
+    ranked = O.numbered(groups.withColumn("_k", key(seed, group)), ["_k", group], "_rn")
+    held = ranked.where(F.col("_rn") < n).select(F.col(group).alias("_g"), F.lit(True).alias("_h"))
+    return df.join(held, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn("holdout", F.coalesce("_h", F.lit(False))).drop("_g", "_h")
+
+
+def nonempty_splits(df: DataFrame, splits: tuple[str, ...] = ("train", "valid", "test"), column: str = "split") -> DataFrame:
+    """df, or an error with the counts of all split names, null too, where one of the splits has no rows."""
+    counts = {r[0]: r[1] for r in df.groupBy(column).count().collect()}  # a handful of names
+    if any(not counts.get(s) for s in splits):
+        raise ValueError(f"a split is empty: {counts}")
+    return df
+
+
+def official_splits(meta: DataFrame, valid: str = "id_val") -> DataFrame:
+    """Rows in train, valid and test, by split_name or else by recoded split and centre; valid names what serves as validation."""
+    if valid not in ("id_val", "val"):
+        raise ValueError("valid must be id_val or val")
+    if "split_name" not in meta.columns:
+        if "split" not in meta.columns:
+            raise ValueError("split_name or split is needed")
+        center = F.col("center").cast("int") if "center" in meta.columns else F.lit(None).cast("int")
+        meta = meta.withColumn("split_name", split_recode(F.col("split"), center))
+    name = F.col("split_name")
+    out = meta.withColumn("split", F.when(name == valid, "valid").when(name.isin("train", "test"), name))
+    return nonempty_splits(out).where("split is not null")
+
+
+def assigned_splits(meta: DataFrame, group: str = "patient_node", share: float = 0.1, seed: int = 42, valid: Column | None = None) -> DataFrame:
+    """train, valid and test: validation rows are given (split = 1 unless said otherwise), and of the others whole groups are held out for test."""
+    if not 0 < share < 1:
+        raise ValueError("share must lie between 0 and 1")
+    valid = F.coalesce(F.col("split") == 1 if valid is None else valid, F.lit(False))
+    flagged = meta.withColumn("_valid", valid)
+    held = group_holdout(flagged.where("not _valid"), group, share, seed).withColumn("split", F.when(F.col("holdout"), "test").otherwise("train")).drop("holdout", "_valid")
+    out = held.unionByName(flagged.where("_valid").drop("_valid").withColumn("split", F.lit("valid")))
+    return nonempty_splits(out, ("train", "test"))
 
 
 def split_recode(code: Column, center: Column) -> Column:
@@ -51,7 +109,7 @@ def error_buckets(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """A row per bucket of each prediction: FP, FN, high-entropy errors and hits, confident errors; buckets overlap."""
     q = F.least(F.greatest(F.col(p), F.lit(1e-12)), F.lit(1 - 1e-12))
     df = df.withColumn("y_hat", (F.col(p) >= 0.5).cast("int")).withColumn("confidence", F.greatest(F.col(p), 1 - F.col(p))).withColumn("entropy", -(q * F.log(q) + (1 - q) * F.log(1 - q)))
-    tau = F.broadcast(df.agg(F.percentile("entropy", 0.9).alias("tau")))  # one row
+    tau = F.broadcast(O.percentiles(df, "entropy", [0.9], names=["tau"]))  # one row
     df = df.crossJoin(tau)
     wrong, high = F.col("y_hat") != F.col(y), F.col("entropy") >= F.col("tau")
     tags = {"FP": wrong & (F.col("y_hat") == 1), "FN": wrong & (F.col("y_hat") == 0), "high_entropy_error": wrong & high, "high_entropy_correct": ~wrong & high, "confident_error": wrong & (F.col("confidence") >= 0.9)}

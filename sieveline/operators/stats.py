@@ -7,43 +7,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 _POISSON = np.cumsum([np.exp(-1.0) / x for x in (1, 1, 2, 6, 24, 120, 720, 5040)])  # P(N <= k), rate 1
+#: Draws are (a * c + b) mod PRIME, a and b from a hash of the row, c from the replicate: independent between rows, and in pairs between replicates.
+PRIME = 2**31 - 1
 
 
-def _noise(ids: np.ndarray, replicate: np.ndarray, seed: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (replicate.astype(np.uint64) + np.uint64(seed)) * np.uint64(0xBF58476D1CE4E5B9)
-        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
-        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
+def turns(replicates: int) -> np.ndarray:
+    return (np.arange(1, replicates + 1, dtype=np.int64) * 1_103_515_245) % PRIME
 
 
-def _partial(replicates: int, seed: int, signs: bool):
+def row_draws(idx: str, seed: int):
+    """Columns a and b of a row."""
+    return [F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}{k}:"), F.col(idx).cast("string"))), 1, 7), 16, 10).cast("long").alias(k) for k in "ab"]
+
+
+def _partial(replicates: int, signs: bool):
     def run(batches):
-        rep, top, base = np.arange(replicates), np.zeros(replicates), np.zeros(replicates)
+        c, top, base = turns(replicates), np.zeros(replicates), np.zeros(replicates)
         for batch in batches:
-            ids, x = batch.column("idx").to_numpy(zero_copy_only=False), batch.column("x").to_numpy(zero_copy_only=False).astype(float)
-            for a in range(0, len(ids), 1024):
-                u = _noise(ids[a : a + 1024], rep, seed)
-                w = np.where(u < 0.5, -1.0, 1.0) if signs else np.searchsorted(_POISSON, u, "right").astype(float)
-                top += x[a : a + 1024] @ w
+            a, b = (batch.column(n).to_numpy(zero_copy_only=False) for n in "ab")
+            x = batch.column("x").to_numpy(zero_copy_only=False).astype(float)
+            for i in range(0, len(a), 256):
+                u = (a[i : i + 256, None] * c + b[i : i + 256, None]) % PRIME / PRIME
+                w = np.where(u < 0.5, -1.0, 1.0) if signs else np.searchsorted(_POISSON, u.ravel(), "right").reshape(u.shape).astype(float)
+                top += x[i : i + 256] @ w
                 base += np.abs(w).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(rep.astype(np.int32)), pa.array(top), pa.array(base)], names=["replicate", "top", "base"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), pa.array(top), pa.array(base)], names=["replicate", "top", "base"])
 
     return run
 
 
 def _sums(df: DataFrame, idx: str, x: str, replicates: int, seed: int, signs: bool) -> DataFrame:
-    part = df.select(F.col(idx).cast("long").alias("idx"), F.col(x).cast("double").alias("x")).mapInArrow(_partial(replicates, seed, signs), "replicate int, top double, base double")
+    part = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("x"), *row_draws(idx, seed)).mapInArrow(_partial(replicates, signs), "replicate int, top double, base double")
     return part.groupBy("replicate").agg(F.sum("top").alias("top"), F.sum("base").alias("base"))
 
 
 def bootstrap(df: DataFrame, x: str, idx: str = "idx", replicates: int = 2000, seed: int = 42) -> DataFrame:
     """Mean with its 95 % percentile interval under Poisson weights; each task sends one row per replicate."""
-    means = _sums(df, idx, x, replicates, seed, False).select((F.col("top") / F.col("base")).alias("m"))
+    means = _sums(df, idx, x, replicates, seed, False).select(F.try_divide("top", "base").alias("m"))
     point = df.agg(F.avg(x).alias("estimate"))
     return point.crossJoin(means.agg(F.percentile("m", 0.025).alias("lower"), F.percentile("m", 0.975).alias("upper")))  # one row each
 
 
+def paired_drop(df: DataFrame, inside: str, outside: str, idx: str = "idx", replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """Mean difference of two columns of the same rows with its 95 % interval: both means of a replicate use the same weights."""
+    return bootstrap(df.withColumn("_d", F.col(inside) - F.col(outside)), "_d", idx, replicates, seed)
+
+
 def sign_flip(df: DataFrame, d: str, idx: str = "idx", flips: int = 10_000, seed: int = 42) -> DataFrame:
     """Two-sided paired permutation p value of a mean difference."""
     point = df.agg(F.avg(d).alias("mean_d"), F.abs(F.sum(d)).alias("s"))
@@ -64,3 +73,14 @@ def wilson(k, n, z: float = 1.96):
     p = k / n
     mid, half = (p + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     return mid - half, mid + half
+
+
+def described(df: DataFrame) -> DataFrame:
+    """A row a column: rows, nulls, distinct values, and of numbers their mean, least and greatest."""
+    numbers = {f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double") or f.dataType.typeName().startswith("decimal")}
+    aggs = []
+    for i, c in enumerate(df.columns):
+        nothing = F.lit(None).cast("double")
+        mean, low, high = (F.round(F.avg(c), 4), F.min(c).cast("double"), F.max(c).cast("double")) if c in numbers else (nothing, nothing, nothing)
+        aggs.append(F.struct(F.lit(c).alias("name"), F.count("*").alias("n"), (F.count("*") - F.count(c)).alias("nulls"), F.count_distinct(c).alias("n_unique"), mean.alias("mean"), low.alias("low"), high.alias("high")).alias(f"c{i}"))
+    return df.agg(*aggs).select(F.explode(F.array(*(f"c{i}" for i in range(len(aggs))))).alias("r")).select("r.*")

@@ -2,9 +2,6 @@
 
 import math
 
-import numpy as np
-
-from sieveline.functions import kernels as K
 from sieveline.operators import dedup as D, metrics as M, sampling as S, stats as T
 from pyspark.sql import functions as F
 
@@ -53,18 +50,6 @@ def test_group_holdout_rounds_half_to_even(spark):
     assert S.group_holdout(df, "g", 0.1).where("holdout").count() == 2
 
 
-def test_kernels():
-    flat = np.zeros((6, 6))
-    assert K.otsu(flat[:0]) == 0.5 and K.laplacian_variance(flat) == 0 and K.box_variance(flat).max() == 0
-    mask = np.zeros((8, 8), bool)
-    mask[:2, :3] = mask[5:, 5:] = True
-    assert K.components(mask) == [6, 9]
-    image = np.random.default_rng(1).random((8, 8, 3))
-    assert K.luminosity(image).max() <= 1 and K.reinhard(image, np.ones(3), np.ones(3)).shape == image.shape
-    assert K.macenko(np.ones((4, 4, 3)), np.eye(3)[:, :2]) is None
-    assert K.macenko(image * 0.5, np.eye(3)[:, :2]).shape == image.shape
-
-
 def test_resampling(spark):
     df = spark.range(500).selectExpr("id as idx", "cast(id % 10 as double) as x")
     r = T.bootstrap(df, "x", replicates=200).first()
@@ -72,12 +57,3 @@ def test_resampling(spark):
     again = T.bootstrap(df.repartition(7), "x", replicates=200).first()
     assert math.isclose(r.lower, again.lower, abs_tol=1e-9)
     assert T.sign_flip(df.withColumn("d", F.lit(1.0)), "d", flips=200).first().p_value < 0.02
-
-
-def test_array_source(spark, tmp_path):
-    from sieveline.sources.readers import ArraySource
-
-    np.save(tmp_path / "x.npy", np.arange(24.0).reshape(4, 2, 3))
-    spark.dataSource.register(ArraySource)
-    rows = spark.read.format("sieveline_array").option("path", str(tmp_path / "x.npy")).option("rows_per_task", 3).load().collect()
-    assert len(rows) == 4 and sorted(rows)[1].px == [6.0, 7.0, 8.0, 9.0, 10.0, 11.0]
