@@ -1,20 +1,22 @@
 """Positions, running sums and exact percentiles in a global order, without a task that sees all rows.
 
-Rows are dealt into ranges of the order by bounds that a bounded sample gives; ranges are numbered on their own and offset by the totals of those before, of which there are at most
-``RANGES`` for each group. The bounds are literals of the plan, so a task that runs again deals its rows alike.
+Rows are dealt into ranges of the order by bounds that a bounded sample gives; ranges are numbered on their own and offset by the totals of those before, of which there are as many
+as shuffle partitions, within ``RANGES``, for each group. The bounds are literals of the plan, so a task that runs again deals its rows alike.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-RANGES = 128
+#: Least and most ranges.
+RANGES = (32, 512)
 #: Sampled rows for each range.
-SAMPLED = 32
+SAMPLED = 64
 
 
-def cuts(df: DataFrame, order: list[str], ranges: int = RANGES) -> list[tuple]:
+def cuts(df: DataFrame, order: list[str], ranges: int | None = None) -> list[tuple]:
     """At most ranges - 1 ascending bounds that part df about evenly."""
+    ranges = ranges or min(RANGES[1], max(RANGES[0], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rows = df.select(*order).orderBy(F.xxhash64(*order, F.lit(7))).limit(ranges * SAMPLED).collect()
     rows = sorted((tuple(r) for r in rows), key=lambda r: tuple((x is not None, x) for x in r))
     return sorted({rows[i] for i in range(SAMPLED, len(rows), SAMPLED)}, key=lambda r: tuple((x is not None, x) for x in r))
@@ -35,7 +37,7 @@ def part_of(df: DataFrame, order: list[str], bounds: list[tuple]) -> Column:
     return pick(0, len(bounds))
 
 
-def running(df: DataFrame, order: list[str], sums: dict[str, str], by: list[str] = (), ranges: int = RANGES) -> DataFrame:
+def running(df: DataFrame, order: list[str], sums: dict[str, str], by: list[str] = (), ranges: int | None = None) -> DataFrame:
     """Adds, under each name, the sum of a column over all rows of the group up to and including this one. The order should be total."""
     keys = [*by, *order]
     dealt = df.withColumn("_part", part_of(df, keys, cuts(df, keys, ranges)))
@@ -51,7 +53,7 @@ def running(df: DataFrame, order: list[str], sums: dict[str, str], by: list[str]
     return joined.select(*(F.col(c) for c in df.columns), *((F.col(f"_l{i}") + F.col(f"_a{i}")).alias(n) for i, n in enumerate(sums)))
 
 
-def numbered(df: DataFrame, order: list[str], name: str, by: list[str] = (), ranges: int = RANGES) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str, by: list[str] = (), ranges: int | None = None) -> DataFrame:
     """Adds the position of each row in its group's order, from 0."""
     out = running(df.withColumn("_one", F.lit(1).cast("long")), order, {name: "_one"}, by, ranges)
     return out.withColumn(name, F.col(name) - 1).drop("_one")
@@ -69,7 +71,7 @@ def milestones(df: DataFrame, order: list[str], by: list[str] = (), parts: int =
     return both.withColumn("mark", mark).where(F.col("mark") > F.floor(float(parts) * F.col("_pos") / F.col("_all"))).select(*df.columns, "mark")
 
 
-def percentiles(df: DataFrame, column: str, shares: list[float], by: list[str] = (), names: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+def percentiles(df: DataFrame, column: str, shares: list[float], by: list[str] = (), names: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """by and, under each name, the exact percentile with linear interpolation between sorted values; nulls don't count.
 
     Rows are counted by distinct value first; the values at the two places are picked from running counts. No task holds the values of a group.

@@ -69,11 +69,11 @@ _PX = f"v_pix as (select *, [(px[3*k+1]+px[3*k+2]+px[3*k+3])/3e0 for k in range(
 _PX += f"v_box as (select *, [list_sum([{_WW}*gray[q+1] for q in range(16)])/121e0 for p in range(16)] as box1, [list_sum([{_WW}*gray[q+1]*gray[q+1] for q in range(16)])/121e0 for p in range(16)] as box2 from v_pix ), "
 _PX += "v_mix as (select *, len([k for k in range(16) if sat[k+1]>0.12e0 or box2[k+1]-box1[k+1]*box1[k+1]>0.003e0])/16e0 as mixed, list_aggregate(gray,'quantile_cont',0.05) as p5, list_aggregate(gray,'quantile_cont',0.95) as p95 from v_box ), "
 _PX += "v_flat as (select *, [least(greatest((x-p5)/greatest(p95-p5,1e-8),0e0),1e0) for x in gray] as flat from v_mix ), "
-_PX += f"v_cut as (select *, case when mixed between 0.12e0 and 0.45e0 then {_otsu('flat', '1e0')} end as cut from v_flat ), "
+_PX += f"v_cut as (select *, case when mixed between 0.12e0 and 0.45e0 then {_otsu('flat', '1e0')} end as dark_cut from v_flat ), "
 _PX += "v_feat as (select *, list_avg([px[3*k+1] for k in range(16)]) as mean_r, list_avg([px[3*k+2] for k in range(16)]) as mean_g, list_avg([px[3*k+3] for k in range(16)]) as mean_b, "
 _PX += "list_aggregate([px[3*k+1] for k in range(16)],'stddev_pop') as std_r, list_aggregate([px[3*k+2] for k in range(16)],'stddev_pop') as std_g, list_aggregate([px[3*k+3] for k in range(16)],'stddev_pop') as std_b, "
 _PX += "list_avg(gray) as mean_gray, list_aggregate(gray,'stddev_pop') as std_gray, list_avg(luma) as mean_luma, list_aggregate(luma,'stddev_pop') as std_luma, list_aggregate(px,'stddev_pop') as std_px, "
-_PX += "list_avg(sat) as sat_mean, len([x for x in sat if x>0.12e0])/16e0 as tissue_proxy, case when cut is null then mixed else greatest(mixed, len([x for x in flat if x<cut])/16e0) end as tissue, len([x for x in gray if x<0.9e0])/16e0 as tissue_gray, "
+_PX += "list_avg(sat) as sat_mean, len([x for x in sat if x>0.12e0])/16e0 as tissue_proxy, case when dark_cut is null then mixed else greatest(mixed, len([x for x in flat if x<dark_cut])/16e0) end as tissue, len([x for x in gray if x<0.9e0])/16e0 as tissue_gray, "
 _PX += "len([x for x in px if x<=0.1e0])/48e0 as black, len([x for x in px if x>=0.9e0])/48e0 as white, len([x for x in px if x<=1/255e0])/48e0 as black_strict, len([x for x in px if x>=254/255e0])/48e0 as white_strict, len([x for x in luma if x<0.05e0])/16e0 as black_luma, "
 _PX += f"{_share('px[3*k+3]>px[3*k+1]')} as blue_dom, {_share('px[3*k+1]>px[3*k+3]')} as pink, {_share('px[3*k+1]>0.55e0 and px[3*k+2]>0.35e0 and px[3*k+3]>0.55e0')} as pink_proxy, list_min(px) as min_px, list_max(px) as max_px, "
 _PX += f"list_aggregate([{_AT.format(y=-1, x=0)}+{_AT.format(y=1, x=0)}+{_AT.format(y=0, x=-1)}+{_AT.format(y=0, x=1)}-4*gray[k+1] for k in range(16)],'var_pop') as blur from v_cut )"
@@ -633,7 +633,7 @@ _AUD = " union all ".join(
     f"(select round(avg(mean_r),6) r, round(avg(mean_g),6) g, round(avg(mean_b),6) b, round(avg(tissue_proxy),6) ti, round(avg(black_luma),6) bl, round(avg(blue_dom),6) bd, round((count(*)-count(distinct {_HASH}))::double/count(*),6) du from (select * from v_feat where dataset={k} and split='{t}' order by md5('{42 + j * 10007 + k * 123}:'||idx), idx limit 40)) where dataset={k} and split='{t}'"
     for k in (0, 1) for j, t in enumerate(("train", "valid", "test"))
 )
-query("pl_audit", _px(f"select * replace (dataset::varchar as dataset) from ({_AUD})"))(lambda s, d: P.audit({str(k): V.patch(s, d).where(f"dataset={k}") for k in (0, 1)}, 4, 40))
+query("pl_audit", _px(f"select * replace (dataset::varchar as dataset) from ({_AUD}) where n_samples>0"))(lambda s, d: P.audit({str(k): V.patch(s, d).where(f"dataset={k}") for k in (0, 1)}, 4, 40))
 query("pl_review_order", _b(f"select idx, bucket, format('{{}}_{{:03d}}', bucket, rn-1) case_id, row_number() over (order by bucket, rn) review_order from ({_CASE}) where rn<=20"))(lambda s, d: P.review(V.pred(s, d), 20).select("idx", "bucket", "case_id", F.col("review_order").cast("long").alias("review_order")))
 
 
