@@ -594,7 +594,7 @@ query("st_seed_offsets", " union all ".join(f"select * from (select '{t}' split,
 query("st_sharpest_of_tail", _px("select idx, round(blur,9) blur from v_feat where blur <= (select quantile_cont(blur,0.1) from v_feat) order by blur desc, idx limit 24"))(lambda s, d: S.extremes(_feat(s, d).select("idx", "blur"), "blur", 0.1, 24).select("idx", F.round("blur", 9).alias("blur")))
 query("st_sharpest", _px("select idx, round(blur,9) blur from v_feat order by blur desc, idx limit 24"))(lambda s, d: S.extremes(_feat(s, d).select("idx", "blur"), "blur", 1.0, 24, least=False).select("idx", F.round("blur", 9).alias("blur")))
 query("st_low_tail", _px("select idx from v_feat order by round(blue_dom,9), idx limit 2"))(lambda s, d: _feat(s, d).select("idx", F.round("blue_dom", 9).alias("b")).orderBy("b", "idx").limit(2).select("idx"))
-query("st_threshold_slice", "select idx, round(p,6) p from v_pred where p>0.9e0 order by p desc, idx limit 60")(lambda s, d: S.above(V.pred(s, d).select("idx", "p"), "p", 0.9, 60).select("idx", F.round("p", 6).alias("p")))
+query("st_threshold_slice", "select idx, p from (select idx, round(p,6) p from v_pred ) where p>0.9e0 order by p desc, idx limit 60")(lambda s, d: S.above(V.pred(s, d).select("idx", F.round("p", 6).alias("p")), "p", 0.9, 60))
 query("st_first_matches", "select idx from (select * from v_pred order by idx limit 200) where y=1 order by idx limit 12")(lambda s, d: S.first_matches(V.pred(s, d).select("idx", "y"), F.col("y") == 1).select("idx"))
 query("st_head", "select idx from v_docs order by idx limit 15")(lambda s, d: V.docs(s, d).select("idx").orderBy("idx").limit(15))
 query("st_class_sample", "select idx, y from (select *, row_number() over (partition by y order by md5('42:'||idx), idx) rn from v_pred ) where rn<=4")(lambda s, d: S.per_group(V.pred(s, d), ["y"], 4).select("idx", "y"))
