@@ -67,10 +67,11 @@ def candidate(tissue: float = 0.5) -> Column:
 
 
 def tail(df: DataFrame, columns: list[str], q: float, by: str = "split") -> DataFrame:
-    """Adds in_tail: at or below the q percentile of any column within its group; thresholds are one row per group."""
-    hit = F.lit(False)
+    """Adds in_tail: at or below the q percentile of any column within its group; thresholds are one row per group. The columns are kept
+    while their percentiles are found, so that what made them (kernels, normalisers) runs once for that and once for the result."""
+    hit, narrow = F.lit(False), df.select(by, *columns).persist()
     for c in columns:
-        cut = O.percentiles(df, c, [q], [by], [f"_{c}"]).withColumnRenamed(by, f"_by_{c}")
+        cut = O.percentiles(narrow, c, [q], [by], [f"_{c}"]).withColumnRenamed(by, f"_by_{c}")
         df = df.join(cut, F.col(by).eqNullSafe(F.col(f"_by_{c}")), "left").drop(f"_by_{c}")
         hit = hit | F.coalesce(F.col(c) <= F.col(f"_{c}"), F.lit(False))
     return df.withColumn("in_tail", hit).drop(*(f"_{c}" for c in columns))

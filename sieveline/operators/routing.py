@@ -130,7 +130,7 @@ def normalised(df: DataFrame, packs: list[T.Pack], px: str = "px", side: int = 4
 
 def thresholds(features: DataFrame, share: float = 0.25, n: int = 30_000, seed: int = 42, by: str = "split") -> DataFrame:
     """by, threshold: the percentile of blue dominance on at most n rows of each group."""
-    drawn = S.per_group(features.select(by, "idx", "blue_dom"), [by], n, seed)
+    drawn = S.per_group(features.select(by, "idx", "blue_dom"), [by], n, seed).select(by, "blue_dom").persist()  # n rows a group
     return O.percentiles(drawn, "blue_dom", [share], [by], ["threshold"])
 
 
