@@ -256,7 +256,7 @@ _JP = "select idx, 3*k+c as i, case c when 0 then r when 1 then g else b end as
 _JP += f" from (select *, {_DRAWD.format(k=1)} as u1, {_DRAWD.format(k=2)} as u2, {_DRAWD.format(k=3)} as u3 from v_patch), (select unnest(range(16)) as k)), (select unnest(range(3)) as c)"
 query("fn_jitter", _px(f"select idx, round(sum(w),6) as total, round(sum((i+1)*w),5) as placed from (select idx, i, least(greatest((v-m)*(0.9e0+0.2e0*u3)+m,0e0),1e0) as w from ({_JP})) group by idx"))(_jitter)
 query("fn_resize_bicubic")(lambda s, d: V.patch(s, d).select("idx", K.image_column(lambda x: K.resize(x, 8, 8), 4)("px").alias("v")).selectExpr("idx", "round(aggregate(v, 0d, (a, x) -> a + x), 6) as total"))
-query("fn_nucleus_diameters")(lambda s, d: V.patch(s, d).select("idx", K.list_column(lambda x: K.nucleus_diameters(x, least=1), 4)("px").alias("d")).select("idx", F.size("d").alias("n"), F.round(F.try_divide(F.lit(7.0), F.expr("array_sort(d)[cast(floor((size(d)-1)/2) as int)]")), 6).alias("scale")))
+query("fn_nucleus_diameters")(lambda s, d: V.patch(s, d).select("idx", K.list_column(lambda x: K.nucleus_diameters(x, least=1), 4)("px").alias("d")).select("idx", F.size("d").alias("n"), F.round(F.try_divide(F.lit(7.0), F.expr("(get(array_sort(d), cast(floor((size(d)-1)/2) as int)) + get(array_sort(d), cast(floor(size(d)/2) as int))) / 2")), 6).alias("scale")))
 expr("fn_sigmoid_temp", V.pred, ["idx", "round(p,6) p", "round(1d/(1d+exp(-z/1.978d)),6) p_cal"], "select idx, round(p,6) p, round(1e0/(1e0+exp(-z/1.978e0)),6) p_cal from v_pred")
 _Q, _QD = "least(greatest(p,1e-12d),1d-1e-12d)", "least(greatest(p,1e-12),1e0-1e-12)"
 expr("fn_confidence_entropy", V.pred, ["idx", "cast(p>=0.5d as int) y_hat", "round(greatest(p,1d-p),6) confidence", f"round(-({_Q}*ln({_Q})+(1d-{_Q})*ln(1d-{_Q})),6) entropy"],

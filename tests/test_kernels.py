@@ -76,6 +76,20 @@ def test_regions_and_resolution():
     assert len(K.nucleus_diameters(np.ones((8, 8, 3)))) == 0 and np.isnan(K.resolution(np.zeros(0)))
 
 
+def test_nucleus_query_on_images_without_regions(spark, tmp_path):
+    from sieveline.plans.catalog import QUERIES
+
+    green = np.ones((2, 4, 4))
+    green[1, 0::2, 0] = green[1, 0::2, 2:] = 0  # regions of 1, 1, 2 and 2 pixels; the first image has none
+    px = np.ones((2, 4, 4, 3))
+    px[..., 1] = green
+    rows = [(vec, [1.0 if x else -1.0 for x in image.ravel()], 4) for vec, image in zip((9, 19), px, strict=True)]  # the view clips them to 0 and 1
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r.idx: (r.n, r.scale) for r in QUERIES["fn_nucleus_diameters"](spark, str(tmp_path)).collect()}
+    assert found == {9: (0, None), 19: (4, round(K.resolution(K.nucleus_diameters(px[1], least=1)), 6))}
+    assert found[19][1] == round(7 / (1 / np.sqrt(np.pi) + np.sqrt(2 / np.pi)), 6)
+
+
 def test_polygons_become_masks():
     square = np.array([[110.0, 110], [150, 110], [150, 150], [110, 150]])
     mask = K.rasterize([square, square + 1000], 100, 100, 96, 96, 96, 96)
