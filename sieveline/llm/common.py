@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,35 @@ def least_hashed(rows: DataFrame, by: str, n: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(by), by).limit(n)
 
 
+# ---------------------------------------------------------------- workers
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+
+
+def give_back() -> None:
+    """Return to the system what Arrow and the C library keep of freed memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def thrifty(kernel: Callable) -> Callable:
+    """A kernel of batches that gives freed memory back after each batch and at its end: a worker is used again by later
+    stages, and would hold the most that any stage before needed."""
+
+    def fed(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            give_back()
+
+    def run(batches):
+        give_back()
+        yield from kernel(fed(batches))
+        give_back()
+
+    return run
+
+
 # ---------------------------------------------------------------- texts as bytes
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts of an Arrow column one after another, and where each begins (n + 1 offsets); null is empty."""

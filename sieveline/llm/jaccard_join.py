@@ -232,7 +232,7 @@ def _compared(docs: DataFrame, sets: DataFrame, cluster: DataFrame, threshold: f
     large = cluster.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
     members = C.stored(cluster.join(large, "cluster").select(F.col("node").alias("sid"), "cluster", "blocks", _key("rep").alias("_id"), F.col("th").alias("_th")), "members")
     texts = docs.join(members.hint("merge"), (_key("id") == F.col("_id")) & (F.col("th") == F.col("_th")))
-    grams = texts.select("sid", "cluster", "blocks", "text").mapInArrow(_sets(words), "sid long, cluster long, blocks int, grams binary")
+    grams = texts.select("sid", "cluster", "blocks", "text").mapInArrow(C.thrifty(_sets(words)), "sid long, cluster long, blocks int, grams binary")
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     dealt = (
         grams.withColumn("own", own)
@@ -241,7 +241,7 @@ def _compared(docs: DataFrame, sets: DataFrame, cluster: DataFrame, threshold: f
     )
     n = C.partitions(docs.sparkSession)
     checked = dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "sid")
-    out = C.stored(checked.mapInArrow(_verify(threshold, depths, trees), "sid long, root long, links long, missed array<double>"), "linked")
+    out = C.stored(checked.mapInArrow(C.thrifty(_verify(threshold, depths, trees)), "sid long, root long, links long, missed array<double>"), "linked")
     C.dropped(members)
     return out
 
@@ -255,7 +255,7 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int
     (other distinct shingle sets at the threshold or above), n_copies (documents with the same set), n_shingles."""
     last = forest_depth(threshold, trees, DEPTH, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("th"))
-    signed = C.stored(docs.mapInArrow(_sign(words, trees, DEPTH, last), "id long, th long, h1 long, h2 long, n int, keys array<long>"), "signed")
+    signed = C.stored(docs.mapInArrow(C.thrifty(_sign(words, trees, DEPTH, last)), "id long, th long, h1 long, h2 long, n int, keys array<long>"), "signed")
     of_set = F.min_by(F.struct("th", "keys"), F.struct(F.col("id").isNull(), "id", "th"))
     sets = signed.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), of_set.alias("one"))
     sets = C.stored(sets.select(F.monotonically_increasing_id().alias("sid"), "h1", "h2", "n", "rep", "n_copies", "one.th", "one.keys"), "sets")

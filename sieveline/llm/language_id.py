@@ -266,7 +266,7 @@ def identified(docs: DataFrame, sample: int = SAMPLE, names: tuple[str, str] = (
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType([*docs.schema.fields]).add(names[0], StringType()).add(names[1], DoubleType())
-    return docs.mapInArrow(_judge(model, names), schema)
+    return docs.mapInArrow(C.thrifty(_judge(model, names)), schema)
 
 
 def predictions(docs: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     The ranges of a document may touch or overlap; ``merge`` makes them maximal.
     """
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    runs = C.stored(named.where("text is not null").mapInArrow(_runs(width), _RUNS), "runs")
+    runs = C.stored(named.where("text is not null").mapInArrow(C.thrifty(_runs(width)), _RUNS), "runs")
     shared = C.stored(
         runs.groupBy("k")
         .agg(F.min("id").alias("lo"), F.max("id").alias("hi"), ((F.min("ctx") < F.max("ctx")) | (F.min("ctx2") < F.max("ctx2"))).alias("several"))
@@ -129,7 +129,7 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     judged = C.stored(found.join(owner, ["k", "ctx", "ctx2"]), "judged")
     whole = judged.where("id > owner").select("id", "s", (F.col("e") + (width - 1)).alias("e"))
     first = judged.where("id = owner and several").groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("runs"))
-    windows = C.stored(named.join(first, "id").mapInArrow(_windows(width), "h1 long, h2 long, id long, pos int"), "windows")
+    windows = C.stored(named.join(first, "id").mapInArrow(C.thrifty(_windows(width)), "h1 long, h2 long, id long, pos int"), "windows")
     earliest = C.stored(
         windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi"), "earliest"
     )
@@ -176,7 +176,7 @@ def substring_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cuts = removal_intervals(docs, width)
     both = docs.join(cuts, docs.doc_id == cuts.id, "left").select("doc_id", "text", "cuts")
-    return both.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return both.mapInArrow(C.thrifty(_digest), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def _rewrite(drop_empty: bool, column: str):
@@ -203,7 +203,7 @@ def remove_substrings(docs: DataFrame, width: int = WIDTH, drop_empty: bool = Tr
     key, column = C.free(docs, "cut_id"), C.free(docs, "cuts")
     cuts = removal_intervals(docs.select("doc_id", "text"), width).select(F.col("id").alias(key), F.col("cuts").alias(column))
     both = docs.join(cuts.hint("merge"), F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
-    out = both.mapInArrow(_rewrite(drop_empty, column), docs.schema)
+    out = both.mapInArrow(C.thrifty(_rewrite(drop_empty, column)), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out

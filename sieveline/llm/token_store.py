@@ -230,7 +230,7 @@ def _counted(path: str):
 
 def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n: ids of each text with the end id, 0 for empty and null texts."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counted(tokenizer), "doc_id long, n long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(C.thrifty(_counted(tokenizer)), "doc_id long, n long")
 
 
 def read_tokens(spark, folder: str) -> DataFrame:

@@ -1,12 +1,16 @@
 """The corpus pipeline: each stage and the whole against brute force on a planted corpus."""
 
+import ctypes
+import os
 import random
+import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from sieveline.llm import common, language_id, mixing, token_store
+from sieveline.llm import common, language_id, mixing, substring_dedup, token_store
 from tests.llm.test_operators import SCHEMA, words
 
 P = pytest.importorskip("public_tokenizers")
@@ -114,3 +118,29 @@ def test_empty_table(spark, tmp_path):
 def test_nothing_labelled(spark):
     docs = spark.createDataFrame([(1, "some text here", None, "s", 14)], SCHEMA)
     assert corpus_pipeline.identify(spark, docs, "").count() == 0 and language_id.predictions(docs).first().lang_pred == "und"
+
+
+def _kept(batches):
+    """MB of freed memory that the worker of a task hasn't given back."""
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nAnonymous:\s+(\d+)", f.read())[1]) / 1024
+
+    for _ in batches:
+        pass
+    before = held()
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+    yield pa.RecordBatch.from_arrays([pa.array([before - held()])], names=["mb"])
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup") or not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="memory can't be read here")
+@pytest.mark.parametrize("stage", [substring_dedup.remove_substrings, lambda docs: token_store.token_counts(docs, P.path("byte_bpe_50k.json"))])
+def test_workers_give_memory_back(spark, stage):
+    """Stages share their workers: memory that a stage has freed must not stay with them."""
+    texts = "transform(sequence(1, 700), i -> concat('w', pmod(xxhash64(id, i), 5000)))"
+    docs = spark.range(0, 48_000, 1, 8).selectExpr("id as doc_id", f"array_join({texts}, ' ') as text", "'en' as lang", "'s' as source", "0L as n_chars")
+    stage(docs).write.format("noop").mode("overwrite").save()
+    kept = [r.mb for r in spark.range(0, 8, 1, 8).mapInArrow(_kept, "mb double").collect()]
+    assert max(kept) < 40, kept
