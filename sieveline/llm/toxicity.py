@@ -43,6 +43,7 @@ _DROP_JUNK, _DROP_MARK = 0.2, 2.0  # of signs at a token's end: three or more al
 _TRAIL = ".,;:!?#$%&*|\"'()[]{}<>~_-=+/\\"
 _HEAD = ".,;:?#%&*\"'[]{}>~_-=/\\"
 _OPENS, _CLOSES = frozenset("\"'([{<"), frozenset(".,;:!?\"')]}>")
+_MIMICKING = "".join(MIMICS)
 _THRICE = re.compile(r"(.)\1\1")
 
 
@@ -87,6 +88,8 @@ def character_model(docs: DataFrame) -> np.ndarray:
 # ---------------------------------------------------------------- decoding
 def disguised(token: str) -> bool:
     """token: lower case, without marks at its ends."""
+    if token.isalpha():
+        return _THRICE.search(token) is not None
     letters = sum(map(str.isalpha, token))
     if not letters:
         return False
@@ -96,7 +99,7 @@ def disguised(token: str) -> bool:
 def signs_after(core: str, token: str) -> str:
     """The signs right after the core of a token without marks at its head that may stand for last letters."""
     tail = token[len(core) :]
-    return tail[: len(tail) - len(tail.lstrip("".join(MIMICS)))]
+    return tail[: len(tail) - len(tail.lstrip(_MIMICKING))] if tail else ""
 
 
 def decode(symbols: str, model: list, spaced: bool = False, tail: int = 0) -> list[str]:
@@ -128,23 +131,38 @@ def decode(symbols: str, model: list, spaced: bool = False, tail: int = 0) -> li
 
 
 class Pieces(dict):
-    """By token: None, or its part in a run of pieces: (letters; empty for marks alone, the letter or sign set apart if it is one, whether a mark opens, or closes, a run there)."""
+    """By token that may be a part of a run of pieces: (letters; empty for marks alone, the letter or sign set apart if it is one, whether a mark opens, or closes, a run there).
+    Other tokens are only in ``others``."""
 
-    def __missing__(self, token: str):
+    def __init__(self):
+        super().__init__()
+        self.others: set[str] = set()
+
+    def learn(self, tokens: set[str]) -> None:
+        if len(self) + len(self.others) >= CACHE:
+            self.clear()
+            self.others.clear()
+        for token in tokens.difference(self.others):
+            if token in self:
+                continue
+            found = None if len(token) > CHUNK and token.isalpha() else self.part(token)
+            if found is None:
+                self.others.add(token)
+            else:
+                self[token] = found
+
+    @staticmethod
+    def part(token: str) -> tuple | None:
         low = token.lower()
         tail = low.lstrip(_HEAD)
         core = tail.rstrip(_TRAIL)
-        found = None
         if not core:
-            found = ("", token if token in MIMICS else "", False, False) if len(token) <= CHUNK else None
-        elif len(core) == 1 and core in MIMICS or len(core) <= CHUNK and any(map(str.isalpha, core)) and all(c.isalpha() or c in MIMICS for c in core):
+            return ("", token if token in MIMICS else "", False, False) if len(token) <= CHUNK else None
+        if len(core) == 1 and core in MIMICS or len(core) <= CHUNK and any(map(str.isalpha, core)) and all(c.isalpha() or c in MIMICS for c in core):
             bare = core.lstrip("(<") or core  # a bracket may stand for a letter of a chunk, or open a row
             signs = signs_after(core, tail)
-            found = (core + signs if len(signs) < 3 else core, bare if len(bare) == 1 else "", bare != core or not _OPENS.isdisjoint(low[: len(low) - len(tail)]), not _CLOSES.isdisjoint(tail[len(core) :]))
-        if len(self) >= CACHE:
-            self.clear()
-        self[token] = found
-        return found
+            return (core + signs if len(signs) < 3 else core, bare if len(bare) == 1 else "", bare != core or not _OPENS.isdisjoint(low[: len(low) - len(tail)]), not _CLOSES.isdisjoint(tail[len(core) :]))
+        return None
 
 
 class Restorer:
@@ -201,8 +219,9 @@ class Restorer:
 
     def runs(self, tokens: list[str]) -> list[tuple]:
         """The longest runs of two or more pieces."""
+        self.pieces.learn(set(tokens))
         out = []
-        for held, group in groupby(map(self.pieces.__getitem__, tokens), bool):
+        for held, group in groupby(map(self.pieces.get, tokens), bool):
             if held and len(run := tuple(group)) > 1:
                 out.append(run)
         return out
@@ -251,11 +270,15 @@ def features(word: str) -> list[str]:
 class Scorer:
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
+        self.stems = {f[:4] for f in weights}
         self.known: dict[str, tuple[str, ...]] = {}
         self.tokens: dict[str, tuple[str, ...]] = {}
+        self.silent: set[str] = set()
         self.runs: dict[tuple, tuple[str, ...]] = {}
 
     def telling(self, word: str) -> tuple[str, ...]:
+        if word[:4] not in self.stems:  # which all features of a word begin with
+            return ()
         found = self.known.get(word)
         if found is None:
             found = tuple(f for f in features(word) if f in self.weights)
@@ -272,16 +295,16 @@ class Scorer:
         return out
 
     def told_by(self, tool: Restorer, text: str | None) -> dict[str, int]:
-        """As told(tool.words(text)); most tokens tell nothing, which is kept for each."""
-        tokens, out = text.split() if text else [], {}
-        for t, n in Counter(tokens).items():
+        """As told(tool.words(text)); most tokens tell nothing: they are kept apart, and no others are counted."""
+        tokens, out, told = text.split() if text else [], {}, {}
+        for t in set(tokens).difference(self.silent):
             found = self.tokens.get(t)
             if found is None:
-                found = tuple(f for w in tool.token(t) for f in self.telling(w))
-                if len(self.tokens) >= CACHE:
-                    self.tokens.clear()
-                self.tokens[t] = found
-            for f in found:
+                found = self.told_of(tool, t)
+            if found:
+                told[t] = found
+        for t, n in Counter(filter(told.__contains__, tokens)).items() if told else ():
+            for f in told[t]:
                 out[f] = out.get(f, 0) + n
         for run in tool.runs(tokens):
             found = self.runs.get(run)
@@ -295,6 +318,23 @@ class Scorer:
                 out[f] = out.get(f, 0) + 1
         return out
 
+    def told_of(self, tool: Restorer, token: str) -> tuple[str, ...]:
+        """What a token that isn't kept yet tells. A plain word whose stem no feature has isn't even looked up."""
+        low = token.lower().lstrip(_HEAD)
+        core = low.rstrip(_TRAIL)
+        if core.isalpha() and core[:4] not in self.stems and (len(core) == len(low) or low[len(core)] not in MIMICS) and not _THRICE.search(core):
+            found = ()
+        else:
+            found = tuple(f for w in tool.token(token) for f in self.telling(w))
+        if len(self.tokens) + len(self.silent) >= CACHE:
+            self.tokens.clear()
+            self.silent.clear()
+        if found:
+            self.tokens[token] = found
+        else:
+            self.silent.add(token)
+        return found
+
     def score(self, told: dict[str, int]) -> float:
         z = self.bias + math.fsum(self.weights[f] * math.log1p(n) for f, n in told.items())
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
