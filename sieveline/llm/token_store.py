@@ -5,7 +5,7 @@ dictionary, or delta packing where it falls back, row groups of ``ROW_GROUP`` by
 ``read_lengths`` touches only the columns of metadata and ``read_some`` only the row groups and pages that may hold the asked documents.
 
 The library encodes each distinct piece of a block of texts once: the byte-level pre-tokeniser cuts at each single space or line break between other characters and
-between a letter and a mark after it, and BPE works on each piece alone. Equal pieces are found by hash, and compared. Texts with other white space at a cut, or with a special token's string, are
+between a letter and a mark after it, and BPE works on each piece alone. Equal pieces are found by Arrow's dictionary encoding. Texts with other white space at a cut, or with a special token's string, are
 encoded whole by the library. Pieces are kept for later blocks in two generations of ``CACHE`` at most.
 
 Defined results: null text is empty and has only the end id; ids are stored as int, whatever the vocabulary; files in the order of their names, and rows in the
@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,26 +84,28 @@ class Encoder:
         if not plain:
             return
         signs = _SIGNS[np.frombuffer(b"\n".join(plain), np.uint8)].tobytes().decode("utf-32-le").split("\n")
-        ids = [[t.id for t in found] for found in map(self.merges.tokenize, signs)]
-        flat, at = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
-        for p, n in zip(plain, map(len, ids), strict=True):
-            self.known[p] = flat[at : at + 4 * n]
-            at += 4 * n
+        ids, upto = [], [0]
+        for found in map(self.merges.tokenize, signs):
+            for t in found:
+                ids.append(t.id)
+            upto.append(4 * len(ids))
+        flat = np.array(ids, "<u4").tobytes()
+        self.known.update((p, flat[a:b]) for p, a, b in zip(plain, upto[:-1], upto[1:], strict=True))
 
     def ids_of(self, pieces: list[bytes]) -> list[bytes]:
         if len(self.known) + len(pieces) > CACHE:
             self.known, self.older = {}, self.known
         found = list(map(self.known.get, pieces))
         if None in found:
-            missing = []
-            for p in [p for p, x in zip(pieces, found, strict=True) if x is None]:
-                x = self.older.get(p)
-                if x is None:
-                    missing.append(p)
-                else:
-                    self.known[p] = x
+            gaps = [i for i, x in enumerate(found) if x is None]
+            missing = [pieces[i] for i in gaps]
+            if self.older:
+                met = list(map(self.older.get, missing))
+                self.known.update((p, x) for p, x in zip(missing, met, strict=True) if x is not None)
+                missing = [p for p, x in zip(missing, met, strict=True) if x is None]
             self.learn(missing)
-            found = list(map(self.known.__getitem__, pieces))
+            for i in gaps:
+                found[i] = self.known[pieces[i]]
             for p in missing:
                 if len(p) > 64:  # such pieces are hardly met again
                     del self.known[p]
@@ -124,14 +125,15 @@ class Encoder:
         new[1:] |= data[:-1] == 10
         new[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(data))
-        _, first, which = np.unique(C.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        shift = np.repeat(starts[first[which]] - starts, ends - starts)
-        shift += np.arange(len(data))
-        if not np.array_equal(data[shift], data) or not np.array_equal((ends - starts)[first[which]], ends - starts):  # two pieces of one hash
-            first = which = np.arange(len(starts))
-        raw = data.tobytes()
-        ids = self.ids_of([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        if len(data) < 1 << 31:
+            kind, at = pa.binary(), np.append(starts, len(data)).astype(np.int32)
+        else:
+            kind, at = pa.large_binary(), np.append(starts, len(data))
+        coded = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        which = coded.indices.to_numpy()
+        _, cut, kept = coded.dictionary.buffers()
+        raw, cut = kept.to_pybytes(), np.frombuffer(cut, at.dtype)[: len(coded.dictionary) + 1].tolist()
+        ids = self.ids_of([raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
         n = size[which]

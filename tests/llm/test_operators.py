@@ -708,3 +708,26 @@ def test_plain_words_cost_few_calls():
         sys.setprofile(None)
     assert len(plain) > 3000
     assert calls["call"] + calls["c_call"] < 25 * len(plain)
+
+
+def test_equal_pieces_are_met_without_arrays_by_character(monkeypatch):
+    """Texts are encoded like the library's, whatever generation holds their pieces; finding equal ones takes no arrays of many bytes for each character."""
+    P = pytest.importorskip("public_tokenizers")
+    import tracemalloc
+
+    path = P.path("byte_bpe_50k.json")
+    monkeypatch.setattr(token_store, "CACHE", 60)
+    tool = token_store.Encoder(path)
+    texts = [" ".join(w + ("", ".", "é", "7")[i % 4] for i, w in enumerate(words(50, s % 7))) for s in range(12)]
+    texts += ["", " x", "a\nb\nc", "w" * 100 + " " + "w" * 100, "no  shortcut", "ß, 12 345!", texts[0]]
+    for some in (texts, texts[::-1], texts[3:5], [""]):
+        ids, count = tool.encode_all(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [[*tool.whole(t).tolist(), token_store.END] for t in some]
+    monkeypatch.setattr(token_store, "CACHE", 500_000)
+    text, tool = " ".join(words(300, 2) * 1000), token_store.Encoder(path)
+    tool.joined([text])
+    tracemalloc.start()
+    tool.joined([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * len(text)
