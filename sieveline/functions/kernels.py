@@ -6,6 +6,7 @@ computed in one call a batch and not image by image.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -306,3 +307,41 @@ def feature_struct(px: str, side: int) -> Column:
         return pa.StructArray.from_arrays([pa.array(found[n], pa.float64()) for n in FEATURES], names=FEATURES)
 
     return run(px)
+
+
+# ---------------------------------------------------------------- logistic curve and entropy, with the C library's exp and log
+def _each(f: Callable[[float], float], x: pa.Array) -> pa.Array:
+    """f of each distinct value of a batch; nulls stay."""
+    coded = x.dictionary_encode()
+    return pa.array([f(v) for v in coded.dictionary.to_pylist()], pa.float64()).take(coded.indices)
+
+
+def _logistic(z: float) -> float:
+    try:
+        return 1.0 / (1.0 + math.exp(-z))
+    except OverflowError:
+        return 0.0
+
+
+def _entropy(q: float) -> float:
+    return -(q * math.log(q) + (1.0 - q) * math.log(1.0 - q))
+
+
+def logistic(z: str | Column) -> Column:
+    """1 / (1 + exp(-z)). Spark's own exp, of another library, is now and then a last bit off, which parts or joins values that tie."""
+
+    @F.arrow_udf("double")
+    def run(x: pa.Array) -> pa.Array:
+        return _each(_logistic, x)
+
+    return run(z)
+
+
+def entropy(q: str | Column) -> Column:
+    """Of a probability between 0 and 1, both excluded; see logistic."""
+
+    @F.arrow_udf("double")
+    def run(x: pa.Array) -> pa.Array:
+        return _each(_entropy, x)
+
+    return run(q)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sieveline.functions import kernels as K
 from sieveline.operators import ordering as O
 
 
@@ -106,9 +107,11 @@ def normal_id(v: Column) -> Column:
 
 
 def error_buckets(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """A row per bucket of each prediction: FP, FN, high-entropy errors and hits, confident errors; buckets overlap."""
+    """A row per bucket of each prediction: FP, FN, high-entropy errors and hits, confident errors; buckets overlap.
+
+    p and 1 - p tie in entropy, and the cut may fall among them: a last bit of p or of the logarithm decides who is in."""
     q = F.least(F.greatest(F.col(p), F.lit(1e-12)), F.lit(1 - 1e-12))
-    df = df.withColumn("y_hat", (F.col(p) >= 0.5).cast("int")).withColumn("confidence", F.greatest(F.col(p), 1 - F.col(p))).withColumn("entropy", -(q * F.log(q) + (1 - q) * F.log(1 - q)))
+    df = df.withColumn("y_hat", (F.col(p) >= 0.5).cast("int")).withColumn("confidence", F.greatest(F.col(p), 1 - F.col(p))).withColumn("entropy", K.entropy(q))
     tau = F.broadcast(O.percentiles(df, "entropy", [0.9], names=["tau"]))  # one row
     df = df.crossJoin(tau)
     wrong, high = F.col("y_hat") != F.col(y), F.col("entropy") >= F.col("tau")

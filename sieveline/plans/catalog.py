@@ -316,7 +316,7 @@ def _b(sql: str) -> str:
     return f"with v_pred as ({V.DUCK['v_pred']}), {_BUCKETS} {sql}"
 
 
-query("flt_error_buckets", _b("select idx, bucket from v_b"))(lambda s, d: S.error_buckets(V.pred(s, d)).select("idx", "bucket"))
+query("flt_error_buckets", _b("select idx, bucket from v_b"))(lambda s, d: S.error_buckets(V.pred_bits(s, d)).select("idx", "bucket"))
 # ------------------------------------------------------------------ joins
 _A, _B = "select h from v_docs where dataset='A'", "select h from v_docs where dataset='B'"
 query("jn_overlap_semi", f"select split, count(*) n, count(*) filter (where h in ({_A})) n_overlap from v_docs where dataset='B' group by split")(
@@ -504,7 +504,7 @@ query("ag_table_summary", " union all ".join(f"select '{c}' as name, count(*) n,
     lambda s, d: T.described(table(s, d, "events").select("event_id", "user_id", "event_type", "value"))
 )
 query("ag_bucket_summary", _b("select bucket, count(*) available_n, least(count(*),600) sampled_n, greatest(0,600-count(*)) shortfall from v_b group by bucket"))(
-    lambda s, d: S.error_buckets(V.pred(s, d)).groupBy("bucket").agg(F.count("*").alias("available_n"), F.least(F.count("*"), F.lit(600).cast("long")).alias("sampled_n"), F.greatest(F.lit(0).cast("long"), 600 - F.count("*")).alias("shortfall"))
+    lambda s, d: S.error_buckets(V.pred_bits(s, d)).groupBy("bucket").agg(F.count("*").alias("available_n"), F.least(F.count("*"), F.lit(600).cast("long")).alias("sampled_n"), F.greatest(F.lit(0).cast("long"), 600 - F.count("*")).alias("shortfall"))
 )
 query("ag_median", _px("select split, round(median(mean_r),6) r from v_feat group by split"))(lambda s, d: O.percentiles(_feat(s, d), "mean_r", [0.5], ["split"], ["r"]).select("split", F.round("r", 6).alias("r")))
 _EP = "select user_id%5 as arm, event_id%20 epoch, round(avg(value),6) metric from events group by 1,2"
@@ -559,7 +559,7 @@ query("wn_cumulative", "select p, ctp, cn, round(ctp::double/total,9) recall, ro
 )
 _CASE = "select idx, bucket, row_number() over (partition by bucket order by md5('42:'||idx), idx) rn from v_b"
 query("wn_bucket_ordinal", _b(f"select idx, bucket, format('{{}}_{{:03d}}', bucket, rn-1) case_id, row_number() over (order by bucket, rn) review_order from ({_CASE}) where rn<=50"))(
-    lambda s, d: S.per_group(S.error_buckets(V.pred(s, d)), ["bucket"], 50).select("idx", "bucket", F.format_string("%s_%03d", "bucket", F.col("rn") - 1).alias("case_id"), F.row_number().over(Window.orderBy("bucket", "rn")).cast("long").alias("review_order"))
+    lambda s, d: S.per_group(S.error_buckets(V.pred_bits(s, d)), ["bucket"], 50).select("idx", "bucket", F.format_string("%s_%03d", "bucket", F.col("rn") - 1).alias("case_id"), F.row_number().over(Window.orderBy("bucket", "rn")).cast("long").alias("review_order"))
 )
 
 
@@ -599,7 +599,7 @@ query("st_first_matches", "select idx from (select * from v_pred order by idx li
 query("st_head", "select idx from v_docs order by idx limit 15")(lambda s, d: V.docs(s, d).select("idx").orderBy("idx").limit(15))
 query("st_class_sample", "select idx, y from (select *, row_number() over (partition by y order by md5('42:'||idx), idx) rn from v_pred ) where rn<=4")(lambda s, d: S.per_group(V.pred(s, d), ["y"], 4).select("idx", "y"))
 query("st_bucket_preview", _b("select bucket, idx from (select *, row_number() over (partition by bucket order by idx) rn from v_b ) where rn<=6"))(
-    lambda s, d: S.error_buckets(V.pred(s, d)).withColumn("rn", F.row_number().over(Window.partitionBy("bucket").orderBy("idx"))).where("rn <= 6").select("bucket", "idx")
+    lambda s, d: S.error_buckets(V.pred_bits(s, d)).withColumn("rn", F.row_number().over(Window.partitionBy("bucket").orderBy("idx"))).where("rn <= 6").select("bucket", "idx")
 )
 query("st_assigned_splits", f"select idx, case when valid then 'valid' when patient_id in (select patient_id from (select patient_id, row_number() over (order by md5('42:'||patient_id)) rn, count(*) over () g from (select distinct patient_id from v_meta where split_code<>1)) where rn <= greatest(1, round_even(g*0.1e0,0))) then 'test' else 'train' end split from (select *, split_code=1 valid from v_meta)")(
     lambda s, d: S.assigned_splits(V.meta(s, d), "patient_id", valid=F.col("split_code") == 1).select("idx", "split")
@@ -611,7 +611,7 @@ query("st_argmin", _px("select split, arg_min(idx,(round(mean_r,6),idx)) idx fro
 query("st_balanced", "with v as (select idx, y, row_number() over (partition by y order by md5('42:'||idx), idx) rn from V_), t as (select count(*) taken from v where y=1 and rn<=100) select idx, y from v, t where (y=1 and rn<=100) or (y=0 and rn<=200-taken)".replace("V_", f"({V.DUCK['v_pred']})"))(
     lambda s, d: S.balanced(V.pred(s, d), 200, "y").select("idx", "y")
 )
-query("st_bucket_sample", _b(f"select idx, bucket from ({_CASE}) where rn<=10"))(lambda s, d: S.per_group(S.error_buckets(V.pred(s, d)), ["bucket"], 10).select("idx", "bucket"))
+query("st_bucket_sample", _b(f"select idx, bucket from ({_CASE}) where rn<=10"))(lambda s, d: S.per_group(S.error_buckets(V.pred_bits(s, d)), ["bucket"], 10).select("idx", "bucket"))
 query("st_group_holdout", f"select holdout, count(*) n, count(distinct patient_id) g from (select patient_id, patient_id in ({_HOLD}) holdout from v_meta) group by holdout")(
     lambda s, d: S.group_holdout(V.meta(s, d), "patient_id", 0.1).groupBy("holdout").agg(F.count("*").alias("n"), F.count_distinct("patient_id").alias("g"))
 )
@@ -634,7 +634,7 @@ _AUD = " union all ".join(
     for k in (0, 1) for j, t in enumerate(("train", "valid", "test"))
 )
 query("pl_audit", _px(f"select * replace (dataset::varchar as dataset) from ({_AUD}) where n_samples>0"))(lambda s, d: P.audit({str(k): V.patch(s, d).where(f"dataset={k}") for k in (0, 1)}, 4, 40))
-query("pl_review_order", _b(f"select idx, bucket, format('{{}}_{{:03d}}', bucket, rn-1) case_id, row_number() over (order by bucket, rn) review_order from ({_CASE}) where rn<=20"))(lambda s, d: P.review(V.pred(s, d), 20).select("idx", "bucket", "case_id", F.col("review_order").cast("long").alias("review_order")))
+query("pl_review_order", _b(f"select idx, bucket, format('{{}}_{{:03d}}', bucket, rn-1) case_id, row_number() over (order by bucket, rn) review_order from ({_CASE}) where rn<=20"))(lambda s, d: P.review(V.pred_bits(s, d), 20).select("idx", "bucket", "case_id", F.col("review_order").cast("long").alias("review_order")))
 
 
 def _processed(s, d):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sieveline.functions import kernels as K
 from sieveline.sources.readers import table
 
 _SPLIT = "case when {k} % 10 = 8 then 'valid' when {k} % 10 = 9 then 'test' else 'train' end"
@@ -29,6 +30,12 @@ def pred(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def pred_bits(spark: SparkSession, d: str) -> DataFrame:
+    """pred, its p to the last bit that of DUCK: for cuts among equal values."""
+    df = pred(spark, d)
+    return df.withColumn("p", K.logistic("z")).select(df.columns)
+
+
 def pred_big(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").selectExpr(
         "cast(l_extendedprice + ((l_orderkey * 7919 + l_linenumber * 31) % 60000) > 80000 as int) as y",
