@@ -9,7 +9,7 @@ from sieveline.plans.catalog import QUERIES, SQL
 from tests.oracle import differs
 
 ROOT = "/root/testdata/sf0.001"
-BUCKETS = ["ag_bucket_summary", "flt_error_buckets"]
+BUCKETS = ["ag_bucket_summary", "flt_error_buckets", "wn_bucket_ordinal"]
 
 
 @pytest.mark.skipif(not os.path.isdir(ROOT), reason="no test tables")
