@@ -7,12 +7,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 _POISSON = np.cumsum([np.exp(-1.0) / x for x in (1, 1, 2, 6, 24, 120, 720, 5040)])  # P(N <= k), rate 1
-#: Draws are (a * c + b) mod PRIME, a and b from a hash of the row, c from the replicate: independent between rows, and in pairs between replicates.
-PRIME = 2**31 - 1
+#: Draws are (a * c + b) mod PRIME, a and b from a hash of the row, c = r * TURN mod PRIME of replicate r: independent between rows, and in pairs between replicates.
+#: From one replicate to the next a draw advances by a * TURN mod PRIME, round a circle of PRIME places, here of 2**64: the remainder is left to the overflow of 64 bits.
+#: A draw stands a quarter of a place past its own (_circle), and rounding moves it by under r / 2**64 of the circle, so no draw crosses a mark.
+PRIME, TURN = 2**31 - 1, 1_103_515_245
+#: Rows and replicates of a block, which stays in the cache.
+ROWS, REPLICATES = 512, 64
+_HALF, _ONE = np.uint64(1 << 63), np.float64(1.0).view(np.uint64)
 
 
-def turns(replicates: int) -> np.ndarray:
-    return (np.arange(1, replicates + 1, dtype=np.int64) * 1_103_515_245) % PRIME
+def _circle(quarters: np.ndarray) -> np.ndarray:
+    """Quarters of a place, below 4 * PRIME, on the circle of 2**64."""
+    high, rest = np.divmod(quarters << 30, PRIME)
+    return (high.astype(np.uint64) << np.uint64(32)) + (rest.astype(np.uint64) << np.uint64(32)) // np.uint64(PRIME)
+
+
+def _mark(level: float) -> np.uint64:
+    """The first place that, divided by PRIME, is at least the level."""
+    place = int(level * PRIME) - 2
+    while place / PRIME < level:
+        place += 1
+    return np.uint64((place << 64) // PRIME)
+
+
+_MARKS = np.array([_mark(x) for x in _POISSON])
+#: Marks reached, by a draw's first CELL bits, or -1 where a mark lies within.
+CELL = 12
+_FIRST = np.arange(1 << CELL, dtype=np.uint64) << np.uint64(64 - CELL)
+_LAST = _FIRST + np.uint64((1 << 64 - CELL) - 1)
+_LOW, _HIGH = (np.searchsorted(_MARKS, x, "right") for x in (_FIRST, _LAST))
+_REACHED = np.where(_LOW == _HIGH, _LOW, -1).astype(float)
 
 
 def row_draws(idx: str, seed: int):
@@ -20,17 +44,40 @@ def row_draws(idx: str, seed: int):
     return [F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}{k}:"), F.col(idx).cast("string"))), 1, 7), 16, 10).cast("long").alias(k) for k in "ab"]
 
 
+def _signs(at: np.ndarray) -> np.ndarray:
+    """-1 in the upper half of the circle, else 1; at, of 64 bits as a float is, becomes the result."""
+    np.bitwise_and(at, _HALF, out=at)
+    return np.bitwise_or(at, _ONE, out=at).view(np.float64)
+
+
+def _counts(at: np.ndarray) -> np.ndarray:
+    """How many marks each draw has reached."""
+    n = _REACHED.take((at >> np.uint64(64 - CELL)).astype(np.intp))
+    near = np.flatnonzero(n < 0)
+    n.ravel()[near] = np.searchsorted(_MARKS, at.ravel()[near], "right")
+    return n
+
+
 def _partial(replicates: int, signs: bool):
     def run(batches):
-        c, top, base = turns(replicates), np.zeros(replicates), np.zeros(replicates)
+        top, base = np.zeros(replicates), np.zeros(replicates)
+        ahead = np.arange(REPLICATES, dtype=np.uint64)[:, None]
         for batch in batches:
             a, b = (batch.column(n).to_numpy(zero_copy_only=False) for n in "ab")
             x = batch.column("x").to_numpy(zero_copy_only=False).astype(float)
-            for i in range(0, len(a), 256):
-                u = (a[i : i + 256, None] * c + b[i : i + 256, None]) % PRIME / PRIME
-                w = np.where(u < 0.5, -1.0, 1.0) if signs else np.searchsorted(_POISSON, u.ravel(), "right").reshape(u.shape).astype(float)
-                top += x[i : i + 256] @ w
-                base += np.abs(w).sum(axis=0)
+            step = a * TURN % PRIME
+            start, step = _circle(4 * ((step + b) % PRIME) + 1), _circle(4 * step)
+            if signs:
+                start += _HALF  # draws under a half turn the sign
+            for i in range(0, len(a), ROWS):
+                xs, at, by = x[i : i + ROWS], start[i : i + ROWS], step[i : i + ROWS]
+                steps, block = ahead * by, by * np.uint64(REPLICATES)
+                for r in range(0, replicates, REPLICATES):
+                    k = min(REPLICATES, replicates - r)
+                    w = _signs(steps[:k] + at) if signs else _counts(steps[:k] + at)
+                    top[r : r + k] += w @ xs
+                    base[r : r + k] += len(xs) if signs else w.sum(axis=1)
+                    at = at + block
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), pa.array(top), pa.array(base)], names=["replicate", "top", "base"])
 
     return run

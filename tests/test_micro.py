@@ -1,6 +1,10 @@
 """Hand-computed cases: ties, empty bins, edges, splits."""
 
 import math
+import time
+
+import numpy as np
+import pyarrow as pa
 
 from sieveline.operators import dedup as D, metrics as M, sampling as S, stats as T
 from pyspark.sql import functions as F
@@ -50,6 +54,45 @@ def test_group_holdout_rounds_half_to_even(spark):
     assert S.group_holdout(df, "g", 0.1).where("holdout").count() == 2
 
 
+def plain_draws(a, b, replicates):
+    return (a[:, None] * (np.arange(1, replicates + 1, dtype=np.int64) * 1_103_515_245 % T.PRIME) + b[:, None]) % T.PRIME / T.PRIME
+
+
+def resampled(a, b, x, replicates, signs):
+    return next(T._partial(replicates, signs)([pa.RecordBatch.from_arrays([pa.array(c) for c in (x, a, b)], names=["x", "a", "b"])]))
+
+
+def test_draws_to_the_last_place():
+    """Whole-numbered x give exact sums: draws at and beside the marks and the ends of the circle, and others."""
+    rng = np.random.default_rng(4)
+    marks = [0, 2**30, T.PRIME - 1, *(int(v * T.PRIME) + k for v in T._POISSON for k in (0, 1))]
+    a = rng.integers(0, 2**28, 1500)
+    b = np.array([(marks[i % len(marks)] + i // len(marks) % 3 - 1 - a[i] * ((1 + i % 999) * 1_103_515_245 % T.PRIME)) % T.PRIME for i in range(1500)])  # replicate 1 + i % 999 of row i is at a mark, or one beside it
+    x = rng.integers(-50, 50, 1500).astype(float)
+    u = plain_draws(a, b, 1000)
+    for signs, w in ((True, np.where(u < 0.5, -1.0, 1.0)), (False, np.searchsorted(T._POISSON, u.ravel(), "right").reshape(u.shape).astype(float))):
+        out = resampled(a, b, x, 1000, signs)
+        assert np.array_equal(out.column("top").to_numpy(), x @ w) and np.array_equal(out.column("base").to_numpy(), np.abs(w).sum(axis=0))
+
+
+def test_draws_cost_little():
+    """Neither divisions nor searches per draw."""
+    rng = np.random.default_rng(4)
+    a, b, x = rng.integers(0, 2**28, 2048), rng.integers(0, 2**28, 2048), rng.random(2048)
+
+    def seconds(f):
+        took = []
+        for _ in range(3):
+            start = time.process_time()
+            f()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    plain = seconds(lambda: [plain_draws(a[i : i + 256], b[i : i + 256], 2000) < 0.5 for i in range(0, 2048, 256)])
+    assert seconds(lambda: resampled(a, b, x, 2000, True)) < plain / 2
+    assert seconds(lambda: resampled(a, b, x, 2000, False)) < plain * 0.8
+
+
 def test_resampling(spark):
     df = spark.range(500).selectExpr("id as idx", "cast(id % 10 as double) as x")
     r = T.bootstrap(df, "x", replicates=200).first()
